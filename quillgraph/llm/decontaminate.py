@@ -47,7 +47,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, probes: int =
     probed = written(ranked.where(F.col("rank") <= probes).select("term", "wid", "offset", "len"), "probes")
     postings = rows.select("doc_id", "key", F.posexplode("words").alias("pos", "term")).join(with_bounded_side(probed), "term")
     starts = postings.select("doc_id", "key", "wid", "len", (F.col("pos") - F.col("offset")).alias("start"), "offset").where("start >= 0")
-    agreed = starts.groupBy("doc_id", "key", "wid", "len", "start").agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("offset"))).alias("seen"))
+    agreed = starts.groupBy("doc_id", "key", "wid", "len", "start").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("seen"))
     agreed = agreed.where(F.bit_count("seen") == F.least(F.lit(probes), F.col("len"))).join(with_bounded_side(phrases), "wid")
     lists = agreed.groupBy("doc_id", "key").agg(F.collect_set(F.struct("wid", "start", "len", "phrase")).alias("found"))
     whole = lists.join(rows.dropDuplicates(["doc_id", "key"]).withColumnRenamed("key", "key_"), (rows["doc_id"].eqNullSafe(lists["doc_id"])) & (F.col("key") == F.col("key_")))
