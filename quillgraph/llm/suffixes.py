@@ -1,7 +1,8 @@
 """Removal of repeated byte strings of at least ``length`` bytes, exact over the whole corpus.
 
 Equal texts are collapsed first. In each different text the minimum of ``K``-byte rolling hashes over every ``length``-byte
-window anchors that window; equal windows have equal anchors, so an anchor that occurs once settles all of its windows. The
+window, at its leftmost place, anchors that window; equal windows have equal anchors at equal offsets, so an anchor that
+occurs at one place only settles all of its windows. The
 runs of windows of an anchor are compared by the hash of the bytes that they span; runs that equal an earlier one go whole.
 Only the first run of each kind whose anchor has others gets its single windows compared, by their hashes.
 Prefix sums of a polynomial in 2^64 give the hash of any substring in constant time.
@@ -63,15 +64,17 @@ def anchors(raw: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, .
     n, w = len(raw) - length + 1, length - k + 1
     grams = np.arange(len(raw) - k + 1)
     mixed = _mix(h.of(grams, grams + k))
-    pad = -len(mixed) % w
-    full = np.concatenate([mixed, np.full(pad, np.uint64(0xFFFFFFFFFFFFFFFF))]).reshape(-1, w)
+    order = np.argsort(mixed, kind="stable")  # equal hashes rank by position, so a window's anchor is its leftmost least one
+    rank = np.empty(len(mixed), np.int64)
+    rank[order] = np.arange(len(mixed))
+    full = np.concatenate([rank, np.full(-len(rank) % w, len(rank))]).reshape(-1, w)
     left = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
     right = np.minimum.accumulate(full, axis=1).ravel()
     least = np.minimum(left[:n], right[w - 1 : w - 1 + n])
     cut = np.flatnonzero(least[1:] != least[:-1]) + 1
     lo, hi = np.concatenate([[0], cut]), np.concatenate([cut - 1, [n - 1]])
     context = _mix(h.of(lo, hi + length) + (hi - lo).astype(np.uint64))
-    return least[lo].view(np.int64), context.view(np.int64), lo, hi
+    return mixed[order[least[lo]]].view(np.int64), context.view(np.int64), lo, hi
 
 
 def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
