@@ -196,7 +196,7 @@ g AS (SELECT *, ll - ln(-ln({_u("'gumbel'", f"'{SEED}'", "'0'", "vertex", "clust
 best AS (SELECT *, row_number() OVER (PARTITION BY vertex ORDER BY g DESC, cluster DESC) AS k FROM g WHERE cluster <> current OR current = -1),
 old AS (SELECT vertex, ll AS old FROM cur WHERE cluster = current)
 SELECT best.vertex, current, best.cluster AS proposal, best.cluster <> current AND ln({_u("'accept'", f"'{SEED}'", "'0'", "best.vertex")}) < 0.5 * (ll - coalesce(old, (t.n - coalesce(size, 0) - deg) * (wdeg / deg))) AS accepted
-FROM best JOIN v ON best.vertex = v.id LEFT JOIN c ON c.cluster = current LEFT JOIN old ON old.vertex = best.vertex, t WHERE k = 1"""),
+FROM best JOIN v ON best.vertex = v.id LEFT JOIN c ON c.cluster = current LEFT JOIN old ON old.vertex = best.vertex, t WHERE best.k = 1"""),
     "mh_fraction_neighbors_batch": _sql(f"SELECT sets.vertex, sets.cluster FROM sets JOIN v ON sets.vertex = id WHERE {_u(chr(39) + 'fraction' + chr(39), f'{chr(39)}{SEED}{chr(39)}', chr(39) + '0' + chr(39), 'sets.vertex', 'sets.cluster')} < w / wdeg"),
     "mh_fraction_cluster_batch": _sql(f"SELECT sets.vertex, sets.cluster FROM sets JOIN v ON sets.vertex = id JOIN c ON sets.cluster = c.cluster WHERE {_u(chr(39) + 'fraction' + chr(39), f'{chr(39)}{SEED}{chr(39)}', chr(39) + '0' + chr(39), 'sets.vertex', 'sets.cluster')} < w / (wdeg + 0.3 * (size - n))"),
 }
