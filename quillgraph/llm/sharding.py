@@ -55,29 +55,29 @@ def kd_shards(docs: DataFrame, shards: int = 24, target_bytes: int | None = None
         lo, hi = bounds[f"lo_{d}"] or 0.0, bounds[f"hi_{d}"] or 0.0
         scaled = F.floor((F.col(d) - F.lit(lo)) / F.lit((hi - lo) or 1.0) * float((1 << SCALE_BITS) - 1)).cast("long")
         rows = rows.withColumn(d, scaled)
-    rows = written(rows, "shard-scaled")
-    node = F.lit(0).cast("int")
+    rows = written(rows.withColumn("node", F.lit(0)), "shard-scaled")
     leaves = {0: (0, shards)}  # node -> first shard, number of shards
     fresh = 1
     while any(n > 1 for _, n in leaves.values()):
         open_ = {k: v for k, v in leaves.items() if v[1] > 1}
-        now = rows.withColumn("node", node).where(F.col("node").isin(list(open_)))
+        now = rows.where(F.col("node").isin(list(open_)))
         spans = now.groupBy("node").agg(F.sum("size").alias("w"), *[(F.max(d) - F.min(d)).alias(d) for d in DIMENSIONS]).collect()
         cuts = []
         for s in spans:
             k = open_[s["node"]][1]
             cuts.append({"node": s["node"], "dim": max(DIMENSIONS, key=lambda d: (s[d], d)), "want": s["w"] * (k // 2) / k, "below": 0, "prefix": 0})
+        old = node = F.col("node")
         for cut in _refine(now, cuts):
             first, k = leaves.pop(cut["node"])
             left, right = fresh, fresh + 1
             fresh += 2
             leaves[left], leaves[right] = (first, k // 2), (first + k // 2, k - k // 2)
-            node = F.when(node == cut["node"], F.when(_before(cut), left).otherwise(right)).otherwise(node)
+            node = F.when(old == cut["node"], F.when(_before(cut), left).otherwise(right)).otherwise(node)
         for k in [k for k in leaves if k in open_]:  # a node without rows: its shards stay empty
             leaves[k] = (leaves[k][0], 1)
-    placed = rows.withColumn("node", node)
+        rows = written(rows.withColumn("node", node), "shard-nodes")
     shard = reduce(lambda out, kv: F.when(F.col("node") == kv[0], kv[1][0]).otherwise(out), leaves.items(), F.lit(0))
-    placed = placed.select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard"), F.pmod(F.xxhash64("t", "doc_id"), F.lit(partitions(spark))).cast("int").alias("part"))
+    placed = rows.select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard"), F.pmod(F.xxhash64("t", "doc_id"), F.lit(partitions(spark))).cast("int").alias("part"))
     return _slots(placed)
 
 
