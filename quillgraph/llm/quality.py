@@ -1,10 +1,15 @@
 """Quality rules: counts of words, symbols and repeats, and a log-likelihood ratio of hashed word 1- and 2-grams between a
 trusted target and the raw corpus, both as smoothed multinomials over a fixed number of cells. DataFrame functions only.
 
+A text is scored with the counts of all other rows: its own n-grams are taken out of the raw counts and, if it is trusted, out
+of the target's. Both multinomials are smoothed at the target's scale: ratio = ln((T + SMOOTHING) / (E + SMOOTHING)), T the
+target's count of the cell and E its raw share times the target's size. So a cell with little evidence has a ratio near 0
+whatever the corpus' size, and with more text the ratio goes to that of the shares.
+
 Defined results: a null text has no words; an empty or wordless text fails the base rules; repeated rows are judged each for
 itself with equal results; a doc_id of null is kept as null; other columns of the input don't matter. With no trusted
-document both multinomials are the same but for smoothing, so every ratio is 0 or near it and nothing falls below the
-threshold. All documents are counted and all are judged; there is no sample.
+document every ratio is 0 and nothing falls below the threshold. All documents are counted and all are judged; there is no
+sample.
 """
 
 from __future__ import annotations
@@ -18,8 +23,8 @@ from quillgraph.llm.common import with_bounded_side, written
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 CELLS = 1 << 16
-#: Added to every cell's count, as a share of the mean count per cell.
-SMOOTHING = 0.05
+#: Added to the target's count of every cell and to the count that the raw shares let expect there.
+SMOOTHING = 5.0
 #: A text goes if its mean log ratio per n-gram (nats) is below.
 THRESHOLD = -0.2
 
@@ -66,34 +71,50 @@ def grams(rows: DataFrame, cells: int = CELLS) -> DataFrame:
     return rows.select(*rest, F.explode_outer(pairs).alias("p")).select(*rest, one.alias("one"), two.alias("two"))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, cells: int = CELLS, smoothing: float = SMOOTHING) -> DataFrame:
-    """cell, ratio = ln(target share / raw share), for every cell that a document has. ``trusted``: doc_id of the target's documents.
+def with_runs(rows: DataFrame, cells: int = CELLS) -> DataFrame:
+    """Adds n_grams and runs, an array of (cell, own: how often the row has it); in steps, so that each array is made once."""
+    less = F.greatest(F.size("words") - 1, F.lit(0))
+    cell = lambda *parts: F.pmod(F.xxhash64(*parts), F.lit(cells)).cast("int")
+    two = F.zip_with(F.slice("words", 1, less), F.slice("words", 2, less), lambda a, b: cell(a, b))
+    rows = rows.withColumn("all", F.sort_array(F.concat(F.transform("words", lambda w: cell(w)), two))).withColumn("n_grams", F.size("all").cast("long"))
+    numbered = F.arrays_zip(F.col("all").alias("cell"), F.sequence(F.lit(1), F.greatest(F.size("all"), F.lit(1))).alias("i"))
+    following = F.concat(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.array(F.lit(-1)))
+    rows = rows.withColumn("ends", F.array_compact(F.zip_with(numbered, following, lambda x, y: F.when(x["cell"] != y, x))))
+    before = F.concat(F.array(F.lit(0)), F.slice(F.col("ends.i"), 1, F.greatest(F.size("ends") - 1, F.lit(0))))
+    runs = F.zip_with("ends", before, lambda e, i: F.struct(e["cell"].alias("cell"), (e["i"] - i).cast("long").alias("own")))
+    return rows.withColumn("runs", runs).drop("all", "ends")
+
+
+def gram_counts(docs: DataFrame, ids: DataFrame, cells: int = CELLS) -> DataFrame:
+    """cell, raw, target: how often all documents and those of ``ids`` (trusted_id) have each cell.
 
     Counts are combined in each task before the shuffle; at most ``cells`` rows come out, whatever the corpus."""
-    ids = with_bounded_side(trusted.select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct())
     rows = docs.select("doc_id", words_of(F.col("text")).alias("words")).join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
     rows = rows.select(F.col("trusted_id").isNotNull().cast("long").alias("t"), "words")
     counts = grams(rows, cells).select("t", F.explode(F.array("one", "two")).alias("cell")).where("cell is not null").groupBy("cell").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
-    counts = written(counts, "gram-counts")
-    total = counts.agg(F.sum("raw").alias("n"), F.sum("target").alias("m")).first()
-    n, m = total["n"] or 0, total["m"] or 0
-    a, b = smoothing * max(n, 1) / cells, smoothing * max(m, 1) / cells
-    share = lambda c, add, all_: (F.col(c) + add) / F.lit(all_ + add * cells)
-    return counts.select("cell", F.log(share("target", b, float(m)) / share("raw", a, float(n))).alias("ratio") if m else F.lit(0.0).alias("ratio"))
+    return written(counts, "gram-counts")
 
 
 def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, cells: int = CELLS, smoothing: float = SMOOTHING) -> DataFrame:
     """doc_id, the base columns, llr (mean log ratio per n-gram, 0 without words) and kept for every row.
 
-    Grams are scored against the broadcast ratios (at most ``cells`` rows) and summed per row within its task."""
-    ratios = F.broadcast(log_ratios(docs, trusted, cells, smoothing))
-    keep = ["row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    rows = base_counts(docs).withColumn("row", F.monotonically_increasing_id()).select(*keep, "words")
-    scored = grams(rows, cells)
-    for c in ("one", "two"):
-        scored = scored.join(ratios.select(F.col("cell").alias(c), F.col("ratio").alias(f"r_{c}")), c, "left")
+    Each row's cells are scored against the broadcast counts (at most ``cells`` rows) and summed per row within its task, as a
+    trusted row's and as another's; which of the sums holds is joined to the short rows that come out."""
+    ids = with_bounded_side(trusted.select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct())
+    counts = gram_counts(docs, ids, cells)
+    total = counts.agg(F.sum("raw").alias("n"), F.sum("target").alias("m")).first()
+    n, m = total["n"] or 0, total["m"] or 0
+    keep = ["row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_grams"]
+    rows = with_runs(base_counts(docs), cells).withColumn("row", F.monotonically_increasing_id())
+    cell = rows.select(*keep, F.explode_outer("runs").alias("x")).select(*keep, F.col("x.cell").alias("cell"), F.col("x.own").alias("own"))
+    cell = cell.join(F.broadcast(counts), "cell", "left")
+    others = (F.col("raw") - F.col("own")) / F.greatest(F.lit(n) - F.col("n_grams"), F.lit(1))
+    ratio = lambda count, size: F.col("own") * F.log((count + F.lit(smoothing)) / (others * size + F.lit(smoothing)))
+    foreign = ratio(F.col("target"), F.lit(m))
+    member = ratio(F.greatest(F.col("target") - F.col("own"), F.lit(0)), F.greatest(F.lit(m) - F.col("n_grams"), F.lit(0)))
     rest = [F.first(c).alias(c) for c in keep[1:]]
-    sums = scored.groupBy("row").agg(*rest, F.sum(F.coalesce("r_one", F.lit(0.0)) + F.coalesce("r_two", F.lit(0.0))).alias("s"), (F.count("one") + F.count("two")).alias("n_grams"))
-    llr = F.when(F.col("n_grams") > 0, F.coalesce(F.col("s"), F.lit(0.0)) / F.col("n_grams")).otherwise(F.lit(0.0))
-    sums = sums.withColumn("llr", F.round(llr, 9))
-    return sums.select(*keep[1:], "llr", (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"))
+    sums = cell.groupBy("row").agg(*rest, F.sum(foreign).alias("foreign"), F.sum(member).alias("member"))
+    sums = sums.join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
+    of = F.coalesce(F.when(F.col("trusted_id").isNotNull(), F.col("member")).otherwise(F.col("foreign")), F.lit(0.0))
+    sums = sums.withColumn("llr", F.round(F.when(F.col("n_grams") > 0, of / F.col("n_grams")).otherwise(F.lit(0.0)), 9))
+    return sums.select(*keep[1:-1], "llr", (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"))
