@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,16 +16,15 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only in local mode, where there is one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-        made = getattr(spark.sparkContext, "_quillgraph_shared", None) or tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext._quillgraph_shared = made
-        return made
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    made = getattr(spark.sparkContext, "_quillgraph_shared", None) or tempfile.mkdtemp(prefix="spark-")
+    spark.sparkContext._quillgraph_shared = made
+    return made
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -35,7 +35,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: the rows as a Parquet table in the shared folder, which outlives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quillgraph_path = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes written tables that nothing reads any more, and lets the driver forget finished shuffles, whose files Spark then removes."""
+    for table in tables:
+        path = getattr(table, "_quillgraph_path", None)
+        if path:
+            jvm, spark = table.sparkSession._jvm, table.sparkSession
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    SparkSession.active().sparkContext._jvm.System.gc()
 
 
 def with_bounded_side(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -52,18 +66,30 @@ def text_key(text: str | Column = "text") -> Column:
     return F.md5(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary"))
 
 
+def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+    return pa.schema([(f.name, _arrow(f.dataType)) for f in spark.createDataFrame([], schema).schema])
+
+
+def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
+    """``work`` turns a task's Arrow batches into dicts of equally long lists or arrays by the schema's names."""
+    kinds = arrow_schema(df.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in work(batches):
+            yield pa.RecordBatch.from_arrays([v if isinstance(v := got[f.name], pa.Array) else pa.array(v, type=f.type) for f in kinds], schema=kinds)
+
+    return df.mapInArrow(run, schema)
+
+
 def per_batch(df: DataFrame, columns: list, work: Callable[..., dict], schema: str) -> DataFrame:
     """``work(*lists)`` over every Arrow batch of ``columns``; it returns a dict of equally long lists or arrays by the schema's names."""
-    out = df.select(*columns)
-    kinds = pa.schema([(f.name, _arrow(f.dataType)) for f in df.sparkSession.createDataFrame([], schema).schema])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             if batch.num_rows:
-                got = work(*(c.to_pylist() for c in batch.columns))
-                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in kinds], schema=kinds)
+                yield work(*(c.to_pylist() for c in batch.columns))
 
-    return out.mapInArrow(run, schema)
+    return mapped(df.select(*columns), run, schema)
 
 
 def _arrow(kind) -> pa.DataType:

@@ -12,34 +12,43 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.llm.common import fresh_path, partitions, per_batch
+from quillgraph.llm.common import fresh_path, mapped, partitions
 
 VOCABULARY, END = "word_bpe_49k.json", 2
-#: Chunks of text between white space whose ids a worker remembers.
+#: Chunks of text between white space whose ids a worker remembers, in two generations of at most so many each.
 MEMO = 500_000
 GAP = re.compile("[ \n\t\r]+")
+#: Rows of one Arrow batch of ids.
+ROWS = 1000
+SCHEMA = "doc_id long, part int, row long, n_tokens int, ids array<int>"
 
 
 class _Memo(dict):
-    """Ids of a chunk. The vocabulary's words never cross white space, so the chunks' ids make the text's."""
+    """Packed ids (little-endian, 32 bits) of a chunk. The vocabulary's words never cross white space, so the chunks' ids make the text's."""
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, chunk: str) -> list[int]:
-        got = self.tokenizer.encode(chunk, add_special_tokens=False).ids if chunk else []
-        if len(self) >= MEMO:
-            self.clear()
+    def __missing__(self, chunk: str) -> bytes:
+        got = self.older.get(chunk)
+        if got is None:
+            got = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids if chunk else [], "<u4").tobytes()
         if len(chunk) <= 64:
+            if len(self) >= MEMO:
+                self.older = dict(self)
+                self.clear()
             self[chunk] = got
         return got
 
@@ -49,33 +58,50 @@ def _memo(vocabulary: str) -> _Memo:
     return _Memo(vocabulary)
 
 
-def encode_text(text: str | None, vocabulary: str = VOCABULARY) -> list[int]:
-    memo = _memo(vocabulary)
-    return [x for chunk in GAP.split(text or "") for x in memo[chunk]]
+def encode_text(text: str | None, vocabulary: str = VOCABULARY) -> bytes:
+    """The ids of a text, packed."""
+    return b"".join(map(_memo(vocabulary).__getitem__, GAP.split(text or "")))
 
 
 def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END) -> None:
-    """Files of doc_id, part, row, ids in ascending doc_id order."""
+    """Files of doc_id, part, row, n_tokens, ids in ascending doc_id order."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    rows = rows.select("doc_id", "text", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select("doc_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), "text")
+    last = np.array([end], "<u4").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                piece = batch.slice(at, ROWS)
+                packed = [encode_text(t, vocabulary) + last for t in piece.column(3).to_pylist()]
+                sizes = np.array([len(p) for p in packed]) // 4
+                ids = pa.array(np.frombuffer(b"".join(packed), "<i4"))
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                yield {"doc_id": piece.column(0), "part": piece.column(1), "row": piece.column(2), "n_tokens": sizes, "ids": pa.ListArray.from_arrays(ends, ids)}
+
+    out = mapped(rows, run, SCHEMA)
+    out.write.option("orc.bloom.filter.columns", "doc_id").option("orc.create.index", "true").option("compression", "zstd").orc(path)
 
-    def work(keys: list, texts: list, part: list, row: list) -> dict:
-        return {"doc_id": keys, "part": part, "row": row, "ids": [[*encode_text(t, vocabulary), end] for t in texts]}
 
-    out = per_batch(rows, ["doc_id", "text", "part", "row"], work, "doc_id long, part int, row long, ids array<int>")
-    out.write.option("orc.bloom.filter.columns", "doc_id").option("orc.create.index", "true").option("compression", "zstd").orc(path)
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, part, row, n_tokens, ids; a condition on doc_id reads only the files' stripes and row groups that may hold it."""
+    return spark.read.schema(SCHEMA).orc(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files."""
-    stored = spark.read.schema("doc_id long, part int, row long, ids array<int>").orc(path)
+    table = stored(spark, path)
 
-    def work(keys: list, part: list, row: list, ids: list) -> dict:
-        return {"doc_id": keys, "part": part, "row": row, "n_tokens": [len(x) for x in ids], "ids_crc32": [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            lists = batch.column(3)
+            ends = lists.offsets.to_numpy()
+            ids, ends = memoryview(lists.values.to_numpy().astype("<i4", copy=False)).cast("B"), (ends * 4).tolist()
+            yield {"doc_id": batch.column(0), "part": batch.column(1), "row": batch.column(2), "n_tokens": np.diff(ends) // 4, "ids_crc32": [zlib.crc32(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)]}
 
-    rows = per_batch(stored, ["doc_id", "part", "row", "ids"], work, "doc_id long, part int, row long, n_tokens long, ids_crc32 long")
-    sizes = stored.select("part", F.size("ids").cast("long").alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
+    rows = mapped(table.select("doc_id", "part", "row", "ids"), run, "doc_id long, part int, row long, n_tokens long, ids_crc32 long")
+    sizes = table.groupBy("part").agg(F.sum(F.col("n_tokens").cast("long")).alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each file
     inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("row")) - F.col("n_tokens")
     return rows.withColumn("inside", inside).join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
