@@ -1,11 +1,19 @@
 """Benchmark decontamination by a distributed positional inverted index. DataFrame functions only.
 
-Every item is cut into windows of ``window`` words. The corpus' counts of the items' words give each window's rarest terms;
-postings (document, position) of those terms alone are kept, shifted by the term's offset in the window, and intersected by
-grouping: a start that all of a window's probes agree on is a candidate, which is compared with the document's own words.
+The documents' words are written once, a row each: the positions of a word in it are its postings. Every item is cut into
+windows of ``window`` words. The corpus' counts of the items' words tell each window's terms from the rarest on. Postings of
+the rarest term alone are made; shifted by the offsets in the window they are intersected with the postings of the next rarest
+terms, in the row that holds them all, and what is left is compared with the whole window. Only matches leave their row.
 
-Defined results: a null or wordless text has no words and no hits; items without words have no windows; rows with equal id
-and text get equal results; other columns are ignored; an empty benchmark leaves every document clean.
+Exact matches: the words of a window in a row. Proximity matches: all words of a window, each as often as it has it, within
+``span`` words in any order, around a posting of the rarest term.
+
+The windows go to the documents in blocks of at most ``BLOCK`` bytes, each block broadcast, so an item table of any size
+works with bounded memory.
+
+Defined results: a null or wordless text has no words and no hits; items without words have no windows; items with a null
+item_id are left out; rows are judged each for itself, so repeated rows and ids get equal results; other columns are
+ignored; an empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
@@ -14,11 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.llm.common import text_key, with_bounded_side, written
+from quillgraph.llm.common import dropped, with_bounded_side, written
 
 WINDOW = 10
-#: Terms of a window whose postings are intersected.
+#: Terms of a window whose postings are intersected before the whole window is compared.
 PROBES = 3
+#: Words that a proximity match may span.
+SPAN = 15
+#: Bytes of windows that are broadcast at once.
+BLOCK = 32_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -26,47 +38,105 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
+def indexed(docs: DataFrame) -> DataFrame:
+    """row, doc_id, words of every row, written once."""
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words")), "postings")
+
+
 def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """wid (hash of the words), phrase, for every different window; and item_ids through ``item_windows``."""
-    rows = items.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
+    """item_id, wid (hash of the words), phrase of every different window of an item."""
+    rows = items.select("item_id", words_of(F.col("text")).alias("words")).where((F.size("words") > 0) & F.col("item_id").isNotNull())
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (window - 1), F.lit(1)))
     rows = rows.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i, window))).alias("phrase"))
     return rows.select("item_id", F.md5(F.array_join("phrase", " ").cast("binary")).alias("wid"), "phrase").distinct()
 
 
-def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, probes: int = PROBES) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key, wid, start from 0, len of every occurrence of a window; item_id, wid, phrase of the windows)."""
-    owned = written(windows_of(items, window), "windows")
+def ranked_windows(index: DataFrame, owned: DataFrame, probes: int = PROBES) -> DataFrame:
+    """wid, phrase, len, probes: (n, offset, term) of the window's rarest terms, the rarest first."""
     phrases = owned.groupBy("wid").agg(F.first("phrase").alias("phrase"))
-    terms = phrases.select("wid", F.size("phrase").alias("len"), F.posexplode("phrase").alias("offset", "term"))
+    terms = phrases.select("wid", F.posexplode("phrase").alias("offset", "term"))
     vocabulary = with_bounded_side(terms.select("term").distinct())
-    rows = docs.select("doc_id", text_key().alias("key"), words_of(F.col("text")).alias("words"))
-    counts = rows.select(F.explode("words").alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    rarest = Window.partitionBy("wid").orderBy(F.coalesce("n", F.lit(0)), "offset")
-    ranked = terms.join(counts, "term", "left").withColumn("rank", F.row_number().over(rarest))
-    probed = written(ranked.where(F.col("rank") <= probes).select("term", "wid", "offset", "len"), "probes")
-    postings = rows.select("doc_id", "key", F.posexplode("words").alias("pos", "term")).join(with_bounded_side(probed), "term")
-    starts = postings.select("doc_id", "key", "wid", "len", (F.col("pos") - F.col("offset")).alias("start"), "offset").where("start >= 0")
-    agreed = starts.groupBy("doc_id", "key", "wid", "len", "start").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("seen"))
-    agreed = agreed.where(F.bit_count("seen") == F.least(F.lit(probes), F.col("len"))).join(with_bounded_side(phrases), "wid")
-    lists = agreed.groupBy("doc_id", "key").agg(F.collect_set(F.struct("wid", "start", "len", "phrase")).alias("found"))
-    whole = lists.join(rows.dropDuplicates(["doc_id", "key"]).withColumnRenamed("key", "key_"), (rows["doc_id"].eqNullSafe(lists["doc_id"])) & (F.col("key") == F.col("key_")))
-    exact = F.filter("found", lambda x: F.slice("words", x["start"] + 1, x["len"]) == x["phrase"])
-    found = whole.select(lists["doc_id"], "key", F.explode(F.transform(exact, lambda x: F.struct(x["wid"].alias("wid"), x["start"].alias("start"), x["len"].alias("len")))).alias("x"))
-    return found.select("doc_id", "key", "x.*"), owned
+    counts = index.select(F.explode("words").alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("wid").orderBy("n", "offset"))  # a window has at most ``window`` terms
+    rarest = terms.join(counts, "term").withColumn("rank", rank).where(F.col("rank") <= probes)
+    lists = rarest.groupBy("wid").agg(F.sort_array(F.collect_list(F.struct("n", "offset", "term"))).alias("probes"))
+    # a window with a term that no document has is nowhere, and its terms' join leaves fewer than it has
+    whole = terms.join(counts, "term").groupBy("wid").agg(F.count(F.lit(1)).alias("known"))
+    return phrases.join(lists, "wid").join(whole, "wid").where(F.col("known") == F.size("phrase")).select("wid", "phrase", F.size("phrase").alias("len"), "probes")
+
+
+def _blocks(windows: DataFrame) -> list[DataFrame]:
+    """The windows in blocks of about ``BLOCK`` bytes at most."""
+    size = windows.agg(F.sum(F.octet_length(F.array_join("phrase", " ")) * 4 + 400)).first()[0] or 0
+    n = -(-size // BLOCK)
+    return [F.broadcast(windows.where(F.pmod(F.xxhash64("wid"), F.lit(n)) == i)) for i in range(n)]
+
+
+def _postings(index: DataFrame, block: DataFrame, match: Column) -> DataFrame:
+    """row, wid, pos, len, offset of the postings of the windows' rarest terms that ``match``."""
+    own = index.select("row", "words", F.posexplode("words").alias("pos", "term"))
+    block = block.select("wid", "phrase", "len", "probes", F.col("probes")[0]["offset"].alias("offset"), F.col("probes")[0]["term"].alias("rarest"))
+    return own.join(block, (F.col("term") == F.col("rarest")) & match).select("row", "wid", "pos", "offset", "len")
+
+
+def find(index: DataFrame, windows: DataFrame, probes: int = PROBES) -> DataFrame | None:
+    """row, wid, start (from 0), len of every exact occurrence; None if there are no windows."""
+    at = F.col("pos") - F.col("offset") + 1  # of the window's first word, from 1
+    match = (at >= 1) & (at + F.col("len") - 1 <= F.size("words"))
+    for k in range(1, probes):  # get() gives null beyond the end, as for a window of fewer terms
+        next_ = F.get("probes", F.lit(k))
+        match = match & (next_.isNull() | (F.get("words", at - 1 + next_["offset"]) == next_["term"]))
+    match = match & (F.slice("words", F.greatest(at, F.lit(1)), F.col("len")) == F.col("phrase"))
+    found = [_postings(index, b, match).select("row", "wid", (F.col("pos") - F.col("offset")).alias("start"), "len") for b in _blocks(windows)]
+    out = None
+    for f in found:
+        out = f if out is None else out.union(f)
+    return out
+
+
+def near(index: DataFrame, windows: DataFrame, span: int = SPAN) -> DataFrame | None:
+    """row, wid, pos: postings of a window's rarest term with all of its words, each as often as it has it, among ``span`` words in a row."""
+    first, last = F.greatest(F.col("pos") - (span - 1), F.lit(0)), F.least(F.col("pos"), F.size("words") - 1)
+    holds = lambda s: F.forall("phrase", lambda w: F.size(F.filter(F.slice("words", s + 1, span), lambda x: x == w)) >= F.size(F.filter("phrase", lambda x: x == w)))
+    around = F.slice("words", first + 1, 2 * span - 1)
+    match = (F.size(F.array_except("phrase", around)) == 0) & F.exists(F.sequence(first, last), holds)
+    found = [_postings(index, b, match).select("row", "wid", "pos") for b in _blocks(windows)]
+    out = None
+    for f in found:
+        out = f if out is None else out.union(f)
+    return out
 
 
 def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row."""
-    found, owned = find(docs, items, window)
-    found = written(found, "occurrences")
-    named = found.select("doc_id", "key", "wid").distinct().join(with_bounded_side(owned.select("wid", "item_id")), "wid")
-    named = named.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
-    hit = found.select("doc_id", "key", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("p"))
-    hit = hit.groupBy("doc_id", "key").agg(F.count_distinct("p").alias("n_hit"))
-    got = hit.join(named, (hit["doc_id"].eqNullSafe(named["doc_id"])) & (hit["key"] == named["key"])).select(hit["doc_id"].alias("id_"), hit["key"].alias("key_"), "n_hit", "ids")
-    rows = docs.select("doc_id", text_key().alias("key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    out = rows.join(got, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_")), "left")
+    index = indexed(docs)
+    owned = written(windows_of(items, window), "windows")
+    windows = written(ranked_windows(index, owned), "ranked-windows")
+    rows = index.select("row", "doc_id", F.size("words").cast("long").alias("n_words"))
+    nothing = F.lit(None).cast("array<string>")
+    found = find(index, windows)
+    if found is None:
+        out = rows.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), nothing.alias("ids"))
+    else:
+        found = written(found, "occurrences")
+        dropped(windows)
+        named = found.select("row", "wid").distinct().join(with_bounded_side(owned.select("wid", "item_id")), "wid")
+        named = named.groupBy("row").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
+        hit = found.select("row", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("p")).distinct()
+        hit = hit.groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
+        out = rows.join(hit.join(named, "row"), "row", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), "ids")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, span: int = SPAN) -> DataFrame:
+    """doc_id, item_id, kind (exact, near), n of every row with occurrences: exact ones count starts, near ones postings of the rarest term."""
+    index = indexed(docs)
+    owned = written(windows_of(items, window), "windows")
+    windows = written(ranked_windows(index, owned), "ranked-windows")
+    exact, close = find(index, windows), near(index, windows, span)
+    if exact is None:
+        return index.select("doc_id", F.lit("").alias("item_id"), F.lit("").alias("kind"), F.lit(0).cast("long").alias("n")).where("false")
+    both = exact.select("row", "wid", F.lit("exact").alias("kind")).union(close.select("row", "wid", F.lit("near").alias("kind")))
+    both = both.groupBy("row", "wid", "kind").agg(F.count(F.lit(1)).alias("n")).join(with_bounded_side(owned.select("wid", "item_id")), "wid")
+    return both.join(index.select("row", "doc_id"), "row").groupBy("row", "doc_id", "item_id", "kind").agg(F.sum("n").alias("n")).drop("row")
