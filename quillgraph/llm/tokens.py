@@ -10,12 +10,12 @@ null ids come first; other columns are ignored.
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,34 +23,44 @@ from pyspark.sql.window import Window
 from quillgraph.llm.common import fresh_path, mapped, partitions
 
 VOCABULARY, END = "word_bpe_49k.json", 2
-#: Chunks of text between white space whose ids a worker remembers, in two generations of at most so many each.
+#: Chunks of text whose ids a worker remembers, in two generations of at most so many each.
 MEMO = 500_000
-GAP = re.compile("[ \n\t\r]+")
 #: Rows of one Arrow batch of ids.
 ROWS = 1000
 SCHEMA = "doc_id long, part int, row long, n_tokens int, ids array<int>"
 
 
-class _Memo(dict):
-    """Packed ids (little-endian, 32 bits) of a chunk. The vocabulary's words never cross white space, so the chunks' ids make the text's."""
+class _Memo:
+    """Packed ids (little-endian, 32 bits) of chunks between ASCII white space. The vocabulary's words never cross white space, so the chunks' ids make the text's."""
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
+        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        got = self.older.get(chunk)
-        if got is None:
-            got = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids if chunk else [], "<u4").tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= MEMO:
-                self.older = dict(self)
-                self.clear()
-            self[chunk] = got
-        return got
+    def ids(self, chunks: list[str]) -> list[bytes]:
+        """Of each chunk. Unknown ones are encoded many at a call."""
+        out = list(map(self.known.get, chunks))
+        missing = []
+        for i, got in enumerate(out):
+            if got is None:
+                out[i] = self.older.get(chunks[i])
+                if out[i] is None:
+                    missing.append(i)
+        for at in range(0, len(missing), 4096):
+            part = missing[at : at + 4096]
+            got = self.tokenizer.encode([chunks[i] for i in part], is_pretokenized=True, add_special_tokens=False)
+            raw, ends = np.array(got.ids, "<u4").tobytes(), (4 * np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)))).tolist()
+            for i, a, b in zip(part, [0, *ends], ends, strict=False):
+                out[i] = raw[a:b]
+        if missing:
+            if len(self.known) >= MEMO:
+                self.known, self.older = {}, self.known
+            self.known.update((chunks[i], out[i]) for i in missing if len(chunks[i]) <= 64)
+        return out
 
 
 @functools.lru_cache(2)
@@ -58,9 +68,21 @@ def _memo(vocabulary: str) -> _Memo:
     return _Memo(vocabulary)
 
 
-def encode_text(text: str | None, vocabulary: str = VOCABULARY) -> bytes:
-    """The ids of a text, packed."""
-    return b"".join(map(_memo(vocabulary).__getitem__, GAP.split(text or "")))
+def encode_texts(texts: pa.Array, vocabulary: str = VOCABULARY, end: int = END) -> pa.ListArray:
+    """The ids of each text, with the end id. A batch's words are made different first, so each is looked up once."""
+    words = pc.ascii_split_whitespace(texts.fill_null(""))
+    ends = words.offsets.to_numpy()
+    flat = words.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+    packed = _memo(vocabulary).ids(flat.dictionary.to_pylist()) + [np.array([end], "<u4").tobytes()]
+    sizes = np.array([len(p) for p in packed]) // 4
+    table, starts = np.frombuffer(b"".join(packed), "<i4"), np.cumsum(sizes) - sizes
+    ends = ends - ends[0]
+    word = np.insert(flat.indices.to_numpy(), ends[1:], len(packed) - 1)  # the end id after each text's last word
+    many = sizes[word]
+    after = np.cumsum(many)
+    ids = table[np.repeat(starts[word] - (after - many), many) + np.arange(after[-1] if len(after) else 0)]
+    last = after[ends[1:] + np.arange(len(texts))]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], last]).astype(np.int32)), pa.array(ids))
 
 
 def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END) -> None:
@@ -68,17 +90,13 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = E
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     rows = rows.select("doc_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), "text")
-    last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 piece = batch.slice(at, ROWS)
-                packed = [encode_text(t, vocabulary) + last for t in piece.column(3).to_pylist()]
-                sizes = np.array([len(p) for p in packed]) // 4
-                ids = pa.array(np.frombuffer(b"".join(packed), "<i4"))
-                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                yield {"doc_id": piece.column(0), "part": piece.column(1), "row": piece.column(2), "n_tokens": sizes, "ids": pa.ListArray.from_arrays(ends, ids)}
+                ids = encode_texts(piece.column(3), vocabulary, end)
+                yield {"doc_id": piece.column(0), "part": piece.column(1), "row": piece.column(2), "n_tokens": np.diff(ids.offsets.to_numpy()), "ids": ids}
 
     out = mapped(rows, run, SCHEMA)
     out.write.option("orc.bloom.filter.columns", "doc_id").option("orc.create.index", "true").option("compression", "zstd").orc(path)
