@@ -66,6 +66,11 @@ def text_key(text: str | Column = "text") -> Column:
     return F.md5(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary"))
 
 
+def text_hash(text: str | Column = "text") -> Column:
+    """64 bits that tell the texts of one doc_id apart; null and empty texts have the same."""
+    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+
+
 def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return pa.schema([(f.name, _arrow(f.dataType)) for f in spark.createDataFrame([], schema).schema])
 
