@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.llm.common import dropped, with_bounded_side, written
+from quillgraph.llm.common import dropped, text_hash, with_bounded_side, written
 
 WINDOW = 10
 #: Terms of a window whose postings are intersected before the whole window is compared.
@@ -39,8 +39,8 @@ def words_of(text: Column) -> Column:
 
 
 def indexed(docs: DataFrame) -> DataFrame:
-    """row, doc_id, words of every row, written once."""
-    return written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words")), "postings")
+    """row, doc_id, text_hash, words of every row, written once."""
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_hash().alias("text_hash"), words_of(F.col("text")).alias("words")), "postings")
 
 
 def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -108,15 +108,15 @@ def near(index: DataFrame, windows: DataFrame, span: int = SPAN) -> DataFrame |
 
 
 def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash of every row."""
     index = indexed(docs)
     owned = written(windows_of(items, window), "windows")
     windows = written(ranked_windows(index, owned), "ranked-windows")
-    rows = index.select("row", "doc_id", F.size("words").cast("long").alias("n_words"))
+    rows = index.select("row", "doc_id", "text_hash", F.size("words").cast("long").alias("n_words"))
     nothing = F.lit(None).cast("array<string>")
     found = find(index, windows)
     if found is None:
-        out = rows.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), nothing.alias("ids"))
+        out = rows.select("doc_id", "text_hash", "n_words", F.lit(0).cast("long").alias("n_hit"), nothing.alias("ids"))
     else:
         found = written(found, "occurrences")
         dropped(windows)
@@ -124,9 +124,9 @@ def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
         named = named.groupBy("row").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
         hit = found.select("row", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("p")).distinct()
         hit = hit.groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
-        out = rows.join(hit.join(named, "row"), "row", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), "ids")
+        out = rows.join(hit.join(named, "row"), "row", "left").select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), "ids")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "text_hash")
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, span: int = SPAN) -> DataFrame:

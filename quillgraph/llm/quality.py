@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import with_bounded_side, written
+from quillgraph.llm.common import text_hash, with_bounded_side, written
 
 #: Java's form of one or more of x20, x09 to x0D.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -47,12 +47,13 @@ def _with_repeats(rows: DataFrame) -> DataFrame:
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of every row."""
+    """doc_id, text_hash, words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = docs.select("doc_id", text.alias("text"), words_of(F.col("text")).alias("words"), lines.alias("lines"))
+    rows = docs.select("doc_id", text_hash().alias("text_hash"), text.alias("text"), words_of(F.col("text")).alias("words"), lines.alias("lines"))
     rows = rows.select(
         "doc_id",
+        "text_hash",
         "words",
         F.size("words").cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -96,7 +97,7 @@ def gram_counts(docs: DataFrame, ids: DataFrame, cells: int = CELLS) -> DataFram
 
 
 def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, cells: int = CELLS, smoothing: float = SMOOTHING) -> DataFrame:
-    """doc_id, the base columns, llr (mean log ratio per n-gram, 0 without words) and kept for every row.
+    """doc_id, text_hash, the base columns, llr (mean log ratio per n-gram, 0 without words) and kept for every row.
 
     Each row's cells are scored against the broadcast counts (at most ``cells`` rows) and summed per row within its task, as a
     trusted row's and as another's; which of the sums holds is joined to the short rows that come out."""
@@ -104,7 +105,7 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, cel
     counts = gram_counts(docs, ids, cells)
     total = counts.agg(F.sum("raw").alias("n"), F.sum("target").alias("m")).first()
     n, m = total["n"] or 0, total["m"] or 0
-    keep = ["row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_grams"]
+    keep = ["row", "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_grams"]
     rows = with_runs(base_counts(docs), cells).withColumn("row", F.monotonically_increasing_id())
     cell = rows.select(*keep, F.explode_outer("runs").alias("x")).select(*keep, F.col("x.cell").alias("cell"), F.col("x.own").alias("own"))
     cell = cell.join(F.broadcast(counts), "cell", "left")
