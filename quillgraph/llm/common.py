@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -48,8 +49,10 @@ def dropped(*tables: DataFrame | None) -> None:
             jvm, spark = table.sparkSession._jvm, table.sparkSession
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    gc.collect()
-    SparkSession.active().sparkContext._jvm.System.gc()
+    for _ in range(2):  # Python's proxies go first, by a thread of their own, then what they held
+        gc.collect()
+        time.sleep(0.2)
+        SparkSession.active().sparkContext._jvm.System.gc()
 
 
 def with_bounded_side(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
