@@ -1,12 +1,13 @@
 """Sharding by k-d tree: each node is cut at a distributed weighted quantile along its widest metadata dimension until the
 leaves are the shards (or reach the target bytes).
 
-The tree works on one short row per document, written once to the shared folder: size, dimensions scaled to 0 .. 2^36 - 1,
-and a tie-break that differs for every row. A cut is found by refining histograms (``FINE`` cells a node and round) over the
-dimension and then over the tie-break, so rows that are equal in a dimension can be cut apart; the driver sees at most
-``FINE`` sums for each node. A node that holds k shards is cut k // 2 : k - k // 2 by bytes, to within half of the document
-at the cut, so shards' sizes differ by about the largest document at most. Rows of equal text lie next to each other in the
-tie-break, so a group of copies stays in one shard unless a cut falls inside it.
+The tree works on one short row per document, written once to the shared folder: size, dimensions scaled to 0 .. 2^36 - 1
+(logarithm of the size, the source by its first six bytes, doc_id), and a tie-break that differs for every row. All nodes of a
+level are cut together: a table of a row per node meets the rows, and histograms (``FINE`` cells a node and round) are refined
+over the dimension and then over the tie-break, so rows that are equal in a dimension can be cut apart; the driver sees a row
+for each node and round. A node that holds k shards is cut k // 2 : k - k // 2 by bytes, to within half of the document at the
+cut, so shards' sizes differ by about the largest document at most. Rows of equal text lie next to each other in the tie-break,
+so a group of copies stays in one shard unless a cut falls inside it.
 
 Defined results: a null text has 8 bytes and the checksum of no bytes; null dimensions count as 0; repeated rows are rows of
 their own; an empty table gives an empty result; other columns are ignored.
@@ -14,13 +15,11 @@ their own; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.llm.common import partitions, written
+from quillgraph.llm.common import BROADCAST_ROWS, dropped, partitions, written
 
 #: Bytes that a row takes beside its text.
 ROW_BYTES = 8
@@ -29,96 +28,95 @@ SCALE_BITS = 36
 FINE_BITS = 12
 FINE = 1 << FINE_BITS
 TIE_BITS = 60
+DIMENSIONS = ("x_size", "x_source", "x_id")
 
 
 def metadata(docs: DataFrame) -> DataFrame:
     """One short row per document: doc_id, size, text_crc32, the raw dimensions and the tie-break ``t``."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select(F.col("doc_id"), (F.octet_length(raw) + ROW_BYTES).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.crc32(F.coalesce("source", F.lit("")).cast("binary")).cast("double").alias("x_source"), F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0)).alias("x_id"))
+    source = F.rpad(F.hex(F.substring(F.coalesce("source", F.lit("")).cast("binary"), 1, 6)), 12, "0")
+    rows = docs.select(F.col("doc_id"), (F.octet_length(raw) + ROW_BYTES).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.conv(source, 16, 10).cast("double").alias("x_source"), F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0)).alias("x_id"))
     rows = rows.withColumn("x_size", F.log2(F.col("size").cast("double")))
     # 32 bits of the text, then 28 that spread its copies; the row's number decides between rows that are alike in both
     spread = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1 << 28))
     return rows.withColumn("t", F.shiftleft(F.col("text_crc32"), 28) + spread)
 
 
-DIMENSIONS = ("x_size", "x_source", "x_id")
+def _table(like: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """A row for each node; broadcast within the bound."""
+    out = like.sparkSession.createDataFrame(rows, schema)
+    return F.broadcast(out) if len(rows) <= BROADCAST_ROWS else out
 
 
 def kd_shards(docs: DataFrame, shards: int = 24, target_bytes: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard; ``target_bytes`` sets the number of shards from the total instead."""
     spark = docs.sparkSession
-    rows = written(metadata(docs), "shard-metadata")
-    bounds = rows.agg(F.sum("size").alias("total"), *[f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    raw = written(metadata(docs), "shard-metadata")
+    bounds = raw.agg(F.sum("size").alias("total"), *[f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))]).first()
     if target_bytes:
         shards = max(1, -(-(bounds["total"] or 0) // target_bytes))
+    scaled = []
     for d in DIMENSIONS:
         lo, hi = bounds[f"lo_{d}"] or 0.0, bounds[f"hi_{d}"] or 0.0
-        scaled = F.floor((F.col(d) - F.lit(lo)) / F.lit((hi - lo) or 1.0) * float((1 << SCALE_BITS) - 1)).cast("long")
-        rows = rows.withColumn(d, scaled)
-    rows = written(rows.withColumn("node", F.lit(0)), "shard-scaled")
-    leaves = {0: (0, shards)}  # node -> first shard, number of shards
-    fresh = 1
+        scaled.append(F.floor((F.col(d) - F.lit(lo)) / F.lit((hi - lo) or 1.0) * float((1 << SCALE_BITS) - 1)).cast("long"))
+    rows = written(raw.select("doc_id", "size", "text_crc32", "t", F.array(*scaled).alias("x"), F.lit(0).alias("node")), "shard-nodes")
+    dropped(raw)
+    leaves, fresh = {0: (0, shards)}, 1  # node -> first shard, number of shards
     while any(n > 1 for _, n in leaves.values()):
         open_ = {k: v for k, v in leaves.items() if v[1] > 1}
-        now = rows.where(F.col("node").isin(list(open_)))
-        spans = now.groupBy("node").agg(F.sum("size").alias("w"), *[(F.max(d) - F.min(d)).alias(d) for d in DIMENSIONS]).collect()
+        now = rows.join(_table(rows, [(k,) for k in open_], "node int"), "node", "left_semi")
+        spans = now.groupBy("node").agg(F.sum("size").alias("w"), *[(F.max(F.get("x", F.lit(i))) - F.min(F.get("x", F.lit(i)))).alias(d) for i, d in enumerate(DIMENSIONS)]).collect()
         cuts = []
         for s in spans:
             k = open_[s["node"]][1]
-            cuts.append({"node": s["node"], "dim": max(DIMENSIONS, key=lambda d: (s[d], d)), "want": s["w"] * (k // 2) / k, "below": 0, "prefix": 0})
-        old = node = F.col("node")
+            cuts.append({"node": s["node"], "dim": max(range(len(DIMENSIONS)), key=lambda i: (s[DIMENSIONS[i]], i)), "want": s["w"] * (k // 2) / k, "below": 0, "prefix": 0, "value": 0})
+        sides = []
         for cut in _refine(now, cuts):
             first, k = leaves.pop(cut["node"])
-            left, right = fresh, fresh + 1
+            leaves[fresh], leaves[fresh + 1] = (first, k // 2), (first + k // 2, k - k // 2)
+            sides.append((cut["node"], cut["dim"], cut["value"], cut["prefix"], cut["shift"], cut["inside"], fresh, fresh + 1))
             fresh += 2
-            leaves[left], leaves[right] = (first, k // 2), (first + k // 2, k - k // 2)
-            node = F.when(old == cut["node"], F.when(_before(cut), left).otherwise(right)).otherwise(node)
         for k in [k for k in leaves if k in open_]:  # a node without rows: its shards stay empty
             leaves[k] = (leaves[k][0], 1)
-        rows = written(rows.withColumn("node", node), "shard-nodes")
-    shard = reduce(lambda out, kv: F.when(F.col("node") == kv[0], kv[1][0]).otherwise(out), leaves.items(), F.lit(0))
-    placed = rows.select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard"), F.pmod(F.xxhash64("t", "doc_id"), F.lit(partitions(spark))).cast("int").alias("part"))
+        table = _table(rows, sides, "node int, dim int, value long, prefix long, shift int, inside boolean, left int, right int")
+        node = F.when(F.col("dim").isNull(), F.col("node")).when(_before(), F.col("left")).otherwise(F.col("right"))
+        old, rows = rows, written(rows.join(table, "node", "left").select("doc_id", "size", "text_crc32", "t", "x", node.alias("node")), "shard-nodes")
+        dropped(old)
+    names = _table(rows, [(k, first) for k, (first, _) in leaves.items()], "node int, shard int")
+    placed = rows.join(names, "node").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("t", "doc_id"), F.lit(partitions(spark))).cast("int").alias("part"))
     return _slots(placed)
 
 
-def _before(cut: dict) -> Column:
-    """Whether a row lies before the cut: by the bits that were resolved."""
-    value, at = F.col(cut["dim"]), cut["prefix"]
-    if cut["shift"] < TIE_BITS:
-        dim, value = value, F.shiftright("t", cut["shift"])
-        return (dim < cut["value"]) | ((dim == cut["value"]) & (value <= at if cut["inside"] else value < at))
-    value = F.shiftright(value, cut["shift"] - TIE_BITS)
-    return value <= at if cut["inside"] else value < at
+def _before() -> Column:
+    """Whether a row lies before its node's cut: by the bits that were resolved."""
+    x, at = F.get("x", F.col("dim")), F.col("prefix")
+    reach = lambda v: (v < at) | ((v == at) & F.col("inside"))
+    by_tie = (x < F.col("value")) | ((x == F.col("value")) & reach(F.call_function("shiftright", F.col("t"), F.col("shift"))))
+    return F.when(F.col("shift") < TIE_BITS, by_tie).otherwise(reach(F.call_function("shiftright", x, F.greatest(F.col("shift") - TIE_BITS, F.lit(0)))))
 
 
 def _refine(now: DataFrame, cuts: list[dict]) -> list[dict]:
     """Narrows every cut to the row whose bytes reach the wanted share: by the dimension's bits, then by the tie-break's, until each cell at a cut holds one row."""
     shift = SCALE_BITS + TIE_BITS
-    while shift > 0 and not (shift < SCALE_BITS + TIE_BITS and all(cut["rows"] == 1 for cut in cuts)):
+    while cuts and shift > 0 and not (shift < SCALE_BITS + TIE_BITS and all(cut["rows"] == 1 for cut in cuts)):
         step = min(FINE_BITS, shift - TIE_BITS if shift > TIE_BITS else shift)
         if shift == TIE_BITS:
             for cut in cuts:
                 cut["value"], cut["prefix"] = cut["prefix"], 0
         shift -= step
-        key = F.lit(None).cast("long")
-        for cut in cuts:
-            if shift >= TIE_BITS:
-                high = F.shiftright(cut["dim"], shift - TIE_BITS)
-                inside = F.shiftright(high, step) == cut["prefix"]
-            else:
-                high = F.shiftright("t", shift)
-                inside = (F.col(cut["dim"]) == cut["value"]) & (F.shiftright(high, step) == cut["prefix"])
-            key = F.when((F.col("node") == cut["node"]) & inside, high.bitwiseAND((1 << step) - 1)).otherwise(key)
-        sums: dict[int, list] = {}
-        for r in now.select("node", key.alias("cell"), "size").where("cell is not null").groupBy("node", "cell").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")).collect():
-            sums.setdefault(r["node"], []).append((r["cell"], r["w"], r["n"]))
+        table = _table(now, [(c["node"], c["dim"], c["value"], c["prefix"], float(c["want"] - c["below"])) for c in cuts], "node int, dim int, value long, prefix long, due double")
+        x = F.get("x", F.col("dim"))
+        high = F.shiftright(x, shift - TIE_BITS) if shift >= TIE_BITS else F.shiftright("t", shift)
+        inside = F.shiftright(high, step) == F.col("prefix")
+        inside = inside if shift >= TIE_BITS else inside & (x == F.col("value"))
+        cells = now.join(table, "node").where(inside).groupBy("node", "due", high.bitwiseAND((1 << step) - 1).alias("cell")).agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n"))
+        order = Window.partitionBy("node").orderBy("cell")  # FINE rows a node at most
+        cells = cells.select("*", F.sum("w").over(order).alias("upto"), F.max("cell").over(Window.partitionBy("node")).alias("last"))
+        hit = cells.where((F.col("upto") >= F.col("due")) | (F.col("cell") == F.col("last"))).groupBy("node").agg(F.min(F.struct("cell", "w", "n", "upto")).alias("x")).select("node", "x.*").collect()
+        at = {r["node"]: r for r in hit}
         for cut in cuts:
-            cells = sorted(sums[cut["node"]])
-            for cell, w, n in cells:
-                if cut["below"] + w >= cut["want"] or cell == cells[-1][0]:
-                    break
-                cut["below"] += w
-            cut |= {"at": w, "rows": n, "prefix": (cut["prefix"] << step) | cell, "shift": shift}
+            r = at[cut["node"]]
+            cut |= {"at": r["w"], "rows": r["n"], "prefix": (cut["prefix"] << step) | r["cell"], "shift": shift, "below": cut["below"] + r["upto"] - r["w"]}
     for cut in cuts:
         cut["inside"] = cut["want"] - cut["below"] > cut["at"] / 2  # the row at the cut goes to the nearer side
     return cuts
