@@ -8,32 +8,34 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of at most this many short rows may be broadcast.
-BROADCAST_ROWS = 500_000
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only in local mode without one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir``; a temporary folder only in local mode without one, where there is one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local["):
-        made = getattr(spark.sparkContext, "_quillgraph_tables", None) or tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext._quillgraph_tables = made
-        return made
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    made = getattr(spark.sparkContext, "_quillgraph_tables", None) or tempfile.mkdtemp(prefix="spark-")
+    spark.sparkContext._quillgraph_tables = made
+    return made
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: a lineage cut that outlives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if a count proves the side small; otherwise the side as it is, for a shuffled join."""
-    return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quillgraph_path = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialised`` that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_quillgraph_path", None)
+        if path:
+            at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def uniform(*parts: str | int | Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 TOLERANCE = 1e-5
+#: Right vertices of one left vertex that are paired under one key.
+BLOCK = 1000
 
 
 def bipartite_from_edges(df: DataFrame, left: str, right: str) -> DataFrame:
@@ -47,9 +49,14 @@ def bipartite_density(bip: DataFrame) -> DataFrame:
 def project_right(bip: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Edges between right vertices: shared left vertices / sqrt(degree * degree), where that exceeds the threshold.
 
-    The left key spreads the wedges; pairs are counted in each task before the shuffle on (src, dst)."""
-    other = bip.select("l", F.col("r").alias("r2"))
-    pairs = bip.join(other, "l").where("r < r2").groupBy("r", "r2").agg(F.count(F.lit(1)).alias("common"))
+    A left vertex' list is dealt into blocks of about ``BLOCK`` and blocks are paired, so a hub's wedges spread over many keys; a list of
+    one block is joined as it is. Pairs are counted in each task before the shuffle on (src, dst)."""
+    blocks = F.ceil(F.col("d") / BLOCK).cast("int")
+    dealt = bip.join(bip.groupBy("l").agg(F.count(F.lit(1)).alias("d")), "l").select("l", "r", blocks.alias("n")).withColumn("b", F.pmod(F.xxhash64("r"), F.col("n")).cast("int"))
+    left = dealt.select("l", "r", F.col("b").alias("i"), F.explode(F.sequence("b", F.col("n") - 1)).alias("j"))
+    right = dealt.select("l", F.col("r").alias("r2"), F.explode(F.sequence(F.lit(0), "b")).alias("i"), F.col("b").alias("j"))
+    met = left.join(right, ["l", "i", "j"]).where("i < j or r < r2").select(F.least("r", "r2").alias("r"), F.greatest("r", "r2").alias("r2"))
+    pairs = met.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("common"))
     degree = bip.groupBy("r").agg(F.count(F.lit(1)).alias("d"))
     got = pairs.join(degree, "r").join(degree.select(F.col("r").alias("r2"), F.col("d").alias("d2")), "r2")
     w = F.col("common") / F.sqrt(F.col("d").cast("double") * F.col("d2"))
@@ -150,13 +157,16 @@ def neighborhood_conductance(edges: DataFrame, vertices: DataFrame, weighted: bo
     return got.select("id", value.alias("conductance"))
 
 
-def prefix_conductance(lists: DataFrame, edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """lists(seed, id, rank) with the conductance of each prefix of a seed's list; the first has 1."""
+def prefix_conductance(lists: DataFrame, edges: DataFrame, vertices: DataFrame, inner: DataFrame | None = None) -> DataFrame:
+    """lists(seed, id, rank) with the conductance of each prefix of a seed's list; the first has 1.
+
+    ``inner``: seed, rank, inner (weight between the vertex of that rank and those before it), where it is known already."""
     v = vertex_degrees(edges, vertices)
     total = edges.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("total"))
-    a = lists.select("seed", F.col("id").alias("src"), F.col("rank").alias("ra"))
-    b = lists.select("seed", F.col("id").alias("dst"), F.col("rank").alias("rb"))
-    inner = a.join(edges, "src").join(b, ["seed", "dst"]).where("rb < ra").groupBy("seed", F.col("ra").alias("rank")).agg(F.sum("w").alias("inner"))
+    if inner is None:
+        a = lists.select("seed", F.col("id").alias("src"), F.col("rank").alias("ra"))
+        b = lists.select("seed", F.col("id").alias("dst"), F.col("rank").alias("rb"))
+        inner = a.join(edges, "src").join(b, ["seed", "dst"]).where("rb < ra").groupBy("seed", F.col("ra").alias("rank")).agg(F.sum("w").alias("inner"))
     rows = lists.join(v, "id").join(inner, ["seed", "rank"], "left")
     so_far = Window.partitionBy("seed").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("cut", F.sum(F.col("wdeg") - 2 * F.coalesce("inner", F.lit(0.0))).over(so_far)).withColumn("vol", F.sum("wdeg").over(so_far)).crossJoin(F.broadcast(total))
@@ -165,13 +175,20 @@ def prefix_conductance(lists: DataFrame, edges: DataFrame, vertices: DataFrame)
     return rows.select("seed", "id", "rank", value.alias("conductance"))
 
 
-def best_prefixes(lists: DataFrame, edges: DataFrame, vertices: DataFrame) -> DataFrame:
+def best_prefixes(lists: DataFrame, edges: DataFrame, vertices: DataFrame, inner: DataFrame | None = None) -> DataFrame:
     """seed, n, conductance: the earliest prefix of least conductance (rounded to 9 places) of each seed's list."""
-    rows = prefix_conductance(lists, edges, vertices).where("conductance is not null")
+    rows = prefix_conductance(lists, edges, vertices, inner).where("conductance is not null")
     best = rows.groupBy("seed").agg(F.min(F.struct(F.round("conductance", 9).alias("c"), F.col("rank").alias("n"))).alias("x"))
     return best.select("seed", F.col("x.n").cast("long").alias("n"), F.col("x.c").alias("conductance"))
 
 
 def best_subneighborhoods(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """The best prefix of each vertex' neighbours by falling weight; the seed itself is not in the list."""
-    return best_prefixes(neighbors_sorted(edges).select(F.col("src").alias("seed"), F.col("dst").alias("id"), "rank"), edges, vertices)
+    """The best prefix of each vertex' neighbours by falling weight; the seed itself is not in the list.
+
+    Edges between two neighbours are the far sides of the seed's triangles, so no table of two steps is made."""
+    lists = neighbors_sorted(edges).select(F.col("src").alias("seed"), F.col("dst").alias("id"), "rank")
+    corner = lambda a, b, c: F.struct(F.col(a).alias("seed"), F.col(b).alias("x"), F.col(c).alias("y"), F.col(f"w_{b}{c}").alias("w"))
+    corners = triangles(edges).select(F.explode(F.array(corner("a", "b", "c"), corner("b", "a", "c"), corner("c", "a", "b"))).alias("k")).select("k.*")
+    side = lambda x: lists.select("seed", F.col("id").alias(x), F.col("rank").alias(f"rank_{x}"))
+    inner = corners.join(side("x"), ["seed", "x"]).join(side("y"), ["seed", "y"]).groupBy("seed", F.greatest("rank_x", "rank_y").alias("rank")).agg(F.sum("w").alias("inner"))
+    return best_prefixes(lists, edges, vertices, inner)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillgraph.functions.tables import uniform
 from quillgraph.operators.graph import vertex_degrees, weight_to_sets
 
 
@@ -43,10 +44,13 @@ def average_weight(edges: DataFrame) -> DataFrame:
     return edges.agg(F.coalesce(F.avg("w"), F.lit(1.0)).alias("avg_w"))
 
 
-def affiliations(edges: DataFrame, vertices: DataFrame, z: DataFrame) -> DataFrame:
-    """vertex, cluster, score of every membership: weight inside over weight at the vertex plus average weight for absent edges."""
-    v = vertex_degrees(edges, vertices).withColumnRenamed("id", "vertex")
-    got = z.join(v, "vertex").join(cluster_sizes(z), "cluster").join(weight_to_sets(edges, z), ["vertex", "cluster"], "left").crossJoin(F.broadcast(average_weight(edges)))  # one row
+def affiliations(edges: DataFrame, vertices: DataFrame, z: DataFrame, figures: DataFrame | None = None) -> DataFrame:
+    """vertex, cluster, score of every membership: weight inside over weight at the vertex plus average weight for absent edges.
+
+    ``figures``: edges whose degrees and average weight are taken instead of the edges' own."""
+    figures = edges if figures is None else figures
+    v = vertex_degrees(figures, vertices).withColumnRenamed("id", "vertex")
+    got = z.join(v, "vertex").join(cluster_sizes(z), "cluster").join(weight_to_sets(edges, z), ["vertex", "cluster"], "left").crossJoin(F.broadcast(average_weight(figures)))  # one row
     n, w = F.coalesce("n", F.lit(0)), F.coalesce("w", F.lit(0.0))
     den = F.col("wdeg") + F.col("avg_w") * (F.col("size") - 1 - n)
     return got.select("vertex", "cluster", F.when(F.col("size") == 1, 1.0).when(den <= 0, 0.0).otherwise(w / F.when(den > 0, den)).alias("score"))
@@ -58,15 +62,87 @@ def shared_edges(edges: DataFrame, z: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, ["dst", "cluster"]).select("src", "dst", "w").distinct()
 
 
-def cluster_precision(edges: DataFrame, z: DataFrame) -> DataFrame:
-    """cluster, precision: weight inside over itself plus average weight for absent pairs. Absent pairs are counted, not listed."""
+def _ratio(a, b):
+    return F.when(b > 0, a / F.when(b > 0, b)).otherwise(0.0)
+
+
+def imputed_pairs(groups: DataFrame, v: DataFrame, by: str) -> DataFrame:
+    """``by``, pairs, weight: the number of vertex pairs in each group of groups(``by``, vertex), and the sum of their mean weights per edge.
+
+    A pair's mean is (wdeg + wdeg) / (deg + deg), so vertices of one degree count as one class and classes are paired, not vertices."""
+    d = groups.join(v.select(F.col("id").alias("vertex"), "deg", "wdeg"), "vertex").groupBy(by, "deg").agg(F.count(F.lit(1)).alias("n"), F.sum("wdeg").alias("s"))
+    n, s = F.col("n").cast("double"), F.col("s")
+    own = d.select(by, (n * (n - 1) / 2).alias("pairs"), _ratio((n - 1) * s, 2.0 * F.col("deg")).alias("weight"))
+    other = d.select(by, F.col("deg").alias("deg2"), F.col("n").alias("n2"), F.col("s").alias("s2"))
+    cross = d.join(other, by).where("deg < deg2").select(by, (n * F.col("n2")).alias("pairs"), ((s * F.col("n2") + F.col("s2") * n) / (F.col("deg") + F.col("deg2"))).alias("weight"))
+    return own.unionByName(cross).groupBy(by).agg(F.sum("pairs").cast("long").alias("pairs"), F.sum("weight").alias("weight"))
+
+
+def _with_means(edges: DataFrame, v: DataFrame) -> DataFrame:
+    """Edges with ``mean``, what an absent edge between the two ends would weigh."""
+    ends = edges.join(v.select(F.col("id").alias("src"), F.col("deg").alias("da"), F.col("wdeg").alias("wa")), "src").join(v.select(F.col("id").alias("dst"), F.col("deg").alias("db"), F.col("wdeg").alias("wb")), "dst")
+    return ends.select("src", "dst", "w", ((F.col("wa") + F.col("wb")) / (F.col("da") + F.col("db"))).alias("mean"))
+
+
+def cluster_precision(edges: DataFrame, vertices: DataFrame, z: DataFrame) -> DataFrame:
+    """cluster, precision: weight inside over itself plus what absent pairs would weigh. Absent pairs are summed by classes, not listed."""
+    v = vertex_degrees(edges, vertices)
     a, b = z.select(F.col("vertex").alias("src"), "cluster"), z.select(F.col("vertex").alias("dst"), "cluster")
-    inner = edges.where("src < dst").join(a, "src").join(b, ["dst", "cluster"]).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
-    got = cluster_sizes(z).join(inner, "cluster", "left").crossJoin(F.broadcast(average_weight(edges)))  # one row
-    size = F.col("size").cast("double")
-    w = F.coalesce("w", F.lit(0.0))
-    den = w + F.col("avg_w") * (size * (size - 1) / 2 - F.coalesce("n", F.lit(0)))
-    return got.select("cluster", F.when(den > 0, w / F.when(den > 0, den)).otherwise(0.0).alias("precision"))
+    inner = _with_means(edges.where("src < dst"), v).join(a, "src").join(b, ["dst", "cluster"]).groupBy("cluster").agg(F.sum("w").alias("w"), F.sum("mean").alias("mean"))
+    got = cluster_sizes(z).join(imputed_pairs(z, v, "cluster"), "cluster", "left").join(inner, "cluster", "left")
+    zero = F.lit(0.0)
+    w = F.coalesce("w", zero)
+    return got.select("cluster", _ratio(w, w + F.coalesce("weight", zero) - F.coalesce("mean", zero)).alias("precision"))
+
+
+def member_places(z: DataFrame, parts: int = 64) -> DataFrame:
+    """vertex, cluster, place (0, 1, ... in each cluster): ranked in hashed parts of a cluster, so a huge one spreads."""
+    rows = z.select("vertex", "cluster", F.pmod(F.xxhash64("vertex"), F.lit(parts)).alias("part"))
+    counts = rows.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("cluster", "part", (F.sum("n").over(Window.partitionBy("cluster").orderBy("part")) - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("cluster", "part").orderBy("vertex")) - 1
+    return rows.withColumn("rank", rank).join(before, ["cluster", "part"]).select("vertex", "cluster", (F.col("before") + F.col("rank")).cast("long").alias("place"))
+
+
+def sampled_precision(edges: DataFrame, vertices: DataFrame, z: DataFrame, samples: int, seed: int = 1) -> DataFrame:
+    """cluster, predicted, true_positive, weight_predicted, weight_true: of ordered pairs drawn in each cluster of two or more, in
+    proportion to its pairs (rounded up), ``samples`` in all. Absent edges weigh the ends' mean."""
+    v = vertex_degrees(edges, vertices)
+    sizes = cluster_sizes(z).where("size > 1").withColumn("own", F.col("size").cast("double") * (F.col("size") - 1))
+    total = sizes.agg(F.sum("own").alias("total"))
+    draws = sizes.crossJoin(F.broadcast(total)).select("cluster", "size", F.explode(F.sequence(F.lit(1), F.ceil(F.col("own") / F.col("total") * samples).cast("int"))).alias("draw"))  # one row
+    i = F.floor(uniform("pair-a", seed, F.col("cluster"), F.col("draw")) * F.col("size"))
+    j = F.floor(uniform("pair-b", seed, F.col("cluster"), F.col("draw")) * (F.col("size") - 1))
+    draws = draws.select("cluster", "draw", i.alias("i"), (j + F.when(j >= i, 1).otherwise(0)).alias("j"))
+    places = member_places(z).join(v.withColumnRenamed("id", "vertex"), "vertex")
+    side = lambda at, x: places.select("cluster", F.col("place").alias(at), F.col("vertex").alias(x), F.col("deg").alias(f"deg_{x}"), F.col("wdeg").alias(f"wdeg_{x}"))
+    rows = draws.join(side("i", "src"), ["cluster", "i"]).join(side("j", "dst"), ["cluster", "j"]).join(edges, ["src", "dst"], "left")
+    mean = _ratio(F.col("wdeg_src") + F.col("wdeg_dst"), F.col("deg_src") + F.col("deg_dst"))
+    hit = F.coalesce(F.col("w") > 0, F.lit(False))
+    return rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("predicted"), F.sum(hit.cast("long")).alias("true_positive"), F.sum(F.when(hit, F.col("w")).otherwise(mean)).alias("weight_predicted"), F.sum(F.when(hit, F.col("w")).otherwise(0.0)).alias("weight_true"))
+
+
+def sampled_stats(edges: DataFrame, vertices: DataFrame, z: DataFrame, recall_samples: int = 1_000_000, precision_samples: int = 100_000, vertex_samples: int = 5_000, seed: int = 1) -> DataFrame:
+    """One row: precision, recall, weighted_precision, weighted_recall, orphan_rate from samples of pairs, edges and assigned vertices.
+
+    A vertex by its share of the degrees and a neighbour of it are a directed edge drawn evenly; a sample here is the edges (vertices)
+    of the least hashes, all of them where there are fewer."""
+    part = lambda rows, n, tag, *ids: rows.orderBy(uniform(tag, seed, *[F.col(i) for i in ids])).limit(n)
+    own = part(edges, recall_samples, "recall", "src", "dst")
+    hit = own.join(shared_edges(edges, z).select("src", "dst", F.lit(True).alias("hit")), ["src", "dst"], "left").select("w", F.coalesce("hit", F.lit(False)).alias("hit"))
+    recall = hit.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.sum(F.col("hit").cast("long")).alias("h"), F.sum(F.when(F.col("hit"), F.col("w"))).alias("hw"))
+    recall = recall.select(_ratio(F.col("h"), F.col("n")).alias("recall"), _ratio(F.coalesce("hw", F.lit(0.0)), F.col("w")).alias("weighted_recall"))
+    sums = sampled_precision(edges, vertices, z, precision_samples, seed).agg(*[F.sum(c).alias(c) for c in ("predicted", "true_positive", "weight_predicted", "weight_true")])
+    precision = sums.select(_ratio(F.col("true_positive"), F.col("predicted")).alias("precision"), _ratio(F.col("weight_true"), F.col("weight_predicted")).alias("weighted_precision"))
+    some = part(z.select("vertex").distinct(), vertex_samples, "orphans", "vertex")
+    alone = some.join(orphans(edges, z).withColumn("alone", F.lit(1)), "vertex", "left").agg(F.coalesce(F.avg(F.coalesce("alone", F.lit(0))), F.lit(0.0)).alias("orphan_rate"))
+    return precision.crossJoin(recall).crossJoin(alone)  # one row each
+
+
+def degree_distribution(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """id, p: each vertex' share of the edge ends."""
+    total = edges.agg(F.count(F.lit(1)).alias("total"))
+    return vertex_degrees(edges, vertices).crossJoin(F.broadcast(total)).select("id", _ratio(F.col("deg").cast("double"), F.col("total")).alias("p"))  # one row
 
 
 def orphans(edges: DataFrame, z: DataFrame) -> DataFrame:
@@ -75,15 +151,27 @@ def orphans(edges: DataFrame, z: DataFrame) -> DataFrame:
 
 
 def prediction_stats(edges: DataFrame, vertices: DataFrame, z: DataFrame) -> DataFrame:
-    """One row: actual, predicted, true_positive, precision, recall, f1 over unordered pairs, for disjoint clusters.
-
-    Predicted pairs are counted from cluster sizes, never listed."""
-    size = F.col("size").cast("double")
-    predicted = cluster_sizes(z).agg(F.coalesce(F.sum(size * (size - 1) / 2), F.lit(0.0)).cast("long").alias("predicted"))
-    actual = edges.agg((F.count(F.lit(1)) / 2).cast("long").alias("actual"))
-    hit = shared_edges(edges, z).agg((F.count(F.lit(1)) / 2).cast("long").alias("true_positive"))
-    got = actual.crossJoin(predicted).crossJoin(hit)  # one row each
-    p = F.when(F.col("predicted") > 0, F.col("true_positive") / F.when(F.col("predicted") > 0, F.col("predicted"))).otherwise(0.0)
-    r = F.when(F.col("actual") > 0, F.col("true_positive") / F.when(F.col("actual") > 0, F.col("actual"))).otherwise(0.0)
-    f1 = F.when(p + r > 0, 2 * p * r / F.when(p + r > 0, p + r)).otherwise(0.0)
-    return got.select("actual", "predicted", "true_positive", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
+    """One row over unordered pairs: actual, predicted, true_positive, true_negative, their precision, recall, f1 and the weighted ones, orphan_rate.
+
+    A pair is predicted if the two share a cluster, once, however many they share. Pairs are counted, never listed: vertices with the
+    same clusters and degree are one class, and classes that share a cluster are paired. A predicted pair weighs its ends' mean, edge
+    or not. orphan_rate is the share of vertices without an edge."""
+    v = vertex_degrees(edges, vertices)
+    rows = z.groupBy("vertex").agg(F.array_sort(F.collect_set("cluster")).alias("row")).join(v.withColumnRenamed("id", "vertex"), "vertex")
+    kinds = rows.groupBy("row", "deg").agg(F.count(F.lit(1)).alias("n"), F.sum("wdeg").alias("s")).withColumn("kind", F.concat_ws(",", F.array_join(F.transform("row", lambda c: c.cast("string")), " "), F.col("deg").cast("string")))
+    n, s, deg = F.col("n").cast("double"), F.col("s"), F.col("deg")
+    own = kinds.select((n * (n - 1) / 2).alias("pairs"), _ratio((n - 1) * s, 2.0 * deg).alias("weight"))
+    a = kinds.select("kind", "n", "s", "deg", F.explode("row").alias("cluster"))
+    b = a.select("cluster", F.col("kind").alias("kind2"), F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("deg").alias("deg2"))
+    met = a.join(b, "cluster").where("kind < kind2").drop("cluster").distinct()
+    cross = met.select((n * F.col("n2")).alias("pairs"), _ratio(s * F.col("n2") + F.col("s2") * n, deg + F.col("deg2")).alias("weight"))
+    zero = F.lit(0.0)
+    predicted = own.unionByName(cross).agg(F.coalesce(F.sum("pairs"), zero).cast("long").alias("predicted"), F.coalesce(F.sum("weight"), zero).alias("weight_predicted"))
+    actual = edges.agg((F.count(F.lit(1)) / 2).cast("long").alias("actual"), (F.coalesce(F.sum("w"), zero) / 2).alias("weight_actual"))
+    hit = shared_edges(edges, z).agg((F.count(F.lit(1)) / 2).cast("long").alias("true_positive"), (F.coalesce(F.sum("w"), zero) / 2).alias("weight_true"))
+    alone = v.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg((deg == 0).cast("double")), zero).alias("orphan_rate"))
+    got = actual.crossJoin(predicted).crossJoin(hit).crossJoin(alone)  # one row each
+    p, r = _ratio(F.col("true_positive"), F.col("predicted")), _ratio(F.col("true_positive"), F.col("actual"))
+    wp, wr = _ratio(F.col("weight_true"), F.col("weight_predicted")), _ratio(F.col("weight_true"), F.col("weight_actual"))
+    absent = (F.col("n") * (F.col("n") - 1) / 2).cast("long") - F.col("actual") - F.col("predicted") + F.col("true_positive")
+    return got.select("actual", "predicted", "true_positive", absent.alias("true_negative"), p.alias("precision"), r.alias("recall"), _ratio(2 * p * r, p + r).alias("f1"), wp.alias("weighted_precision"), wr.alias("weighted_recall"), _ratio(2 * wp * wr, wp + wr).alias("weighted_f1"), "orphan_rate")

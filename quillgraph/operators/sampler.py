@@ -8,12 +8,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quillgraph.functions.tables import materialised, uniform
+from quillgraph.functions.tables import discarded, materialised, uniform
 from quillgraph.operators.components import divided_clusters
-from quillgraph.operators.graph import project_right, right_vertices, square_weights, top_k_edges, vertex_degrees, weight_to_sets
+from quillgraph.operators.graph import best_prefixes, neighborhood_conductance, neighbors_sorted, project_right, right_vertices, square_weights, top_k_edges, vertex_degrees, weight_to_sets
 from quillgraph.operators.embeddings import left_embeddings, log_transformed, normalized, norms, right_embeddings
-from quillgraph.operators.membership import affiliations, cluster_sizes, remove_small_clusters
+from quillgraph.operators.membership import affiliations, cluster_sizes, matrix_stats, prediction_stats, remove_small_clusters, sampled_stats
+
+
+STRATEGIES = ("single", "multiple", "neighbors", "neighbors_and_cluster", "random")
+STARTS = ("random_neighborhood", "best_neighborhood", "seeds", "random")
 
 
 @dataclass(frozen=True)
@@ -30,6 +35,19 @@ class Settings:
     divide: bool = True
     remove_weak_links: bool = True
     least_size: int = 2
+    strategy: str = "single"  # or multiple, neighbors, neighbors_and_cluster, random
+    most_memberships: int = 5
+    start: str = "random_neighborhood"  # or best_neighborhood, seeds, random
+    all_epochs: bool = False
+    metrics_every: int = 1
+
+    def __post_init__(self):
+        if self.strategy not in STRATEGIES:
+            raise ValueError(f"strategy must be one of {', '.join(STRATEGIES)}")
+        if self.start not in STARTS:
+            raise ValueError(f"start must be one of {', '.join(STARTS)}")
+        if self.clusters < 1 or self.batches < 1 or self.most_memberships < 1 or self.metrics_every < 1:
+            raise ValueError("clusters, batches, most_memberships and metrics_every must be at least 1")
 
     def multiplier(self, epoch: int) -> float:
         return self.scale if self.temperature is None else 1.0 / (self.cooling**epoch * self.temperature)
@@ -77,43 +95,196 @@ def propose(edges: DataFrame, v: DataFrame, z: DataFrame, settings: Settings, ep
     return best.where("x is not null").select("vertex", "current", F.col("x.cluster").alias("proposal"), moved.alias("accepted"))
 
 
-def fraction_proposals(edges: DataFrame, v: DataFrame, z: DataFrame, seed: int = 1, epoch: int = 0, with_size: bool = False, average: float = 1.0) -> DataFrame:
-    """vertex, cluster: each neighbouring cluster is drawn for itself with its share of the vertex' weight (over absent edges too ``with_size``)."""
+def fraction_proposals(edges: DataFrame, v: DataFrame, z: DataFrame, seed: int = 1, epoch: int = 0, with_size: bool = False) -> DataFrame:
+    """vertex, cluster: each neighbouring cluster is drawn for itself with its share of the vertex' weight; ``with_size``, the cluster's
+    other members count too, each with the mean weight of the edges into it."""
     rows = weight_to_sets(edges, z).join(v.withColumnRenamed("id", "vertex"), "vertex").join(cluster_sizes(z), "cluster")
-    den = F.col("wdeg") + average * (F.col("size") - F.col("n")) if with_size else F.col("wdeg")
+    den = F.col("wdeg") + F.col("w") / F.col("n") * (F.col("size") - F.col("n")) if with_size else F.col("wdeg")
     p = F.when(den > 0, F.col("w") / F.when(den > 0, den)).otherwise(0.0)
     return rows.where(uniform("fraction", seed, epoch, F.col("vertex"), F.col("cluster")) < p).select("vertex", "cluster")
 
 
+def pure_random_proposals(v: DataFrame, clusters: int, seed: int = 1, epoch: int = 0) -> DataFrame:
+    """vertex, cluster: each of the clusters with probability 1/2, drawn in the vertex' row."""
+    return v.select(F.col("id").alias("vertex"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(clusters - 1).cast("long"))).alias("cluster")).where(uniform("coin", seed, epoch, F.col("vertex"), F.col("cluster")) < 0.5)
+
+
+def set_likelihoods(edges: DataFrame, v: DataFrame, z: DataFrame, sets: DataFrame, weight: float = 5.0) -> DataFrame:
+    """vertex, row, ll of sets(vertex, row: array of clusters): neighbours in any of them count once, and so do their members."""
+    total = v.agg(F.count(F.lit(1)).cast("double").alias("n_vertices"))
+    key = F.array_join(F.transform("row", lambda c: c.cast("string")), " ")
+    sets = sets.select("vertex", "row", key.alias("key"))
+    parts = sets.select(F.col("vertex").alias("src"), "key", F.explode("row").alias("cluster"))
+    hits = edges.join(parts, "src").join(z.select(F.col("vertex").alias("dst"), "cluster"), ["dst", "cluster"]).select("src", "dst", "w", "key").distinct()
+    hits = hits.groupBy(F.col("src").alias("vertex"), "key").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+    union = sets.select("key", F.explode("row").alias("cluster")).distinct().join(z, "cluster").groupBy("key").agg(F.count_distinct("vertex").alias("size"))
+    rows = sets.join(hits, ["vertex", "key"], "left").join(union, "key", "left").join(v.withColumnRenamed("id", "vertex"), "vertex").crossJoin(F.broadcast(total))  # one row
+    zero = F.lit(0)
+    return rows.select("vertex", "row", log_likelihood(F.col("n_vertices"), weight, F.coalesce("n", zero), F.coalesce("w", F.lit(0.0)), F.coalesce("size", zero), F.col("deg"), F.col("wdeg")).alias("ll"))
+
+
+def rows_of(z: DataFrame) -> DataFrame:
+    """vertex, row: its clusters in order."""
+    return z.groupBy("vertex").agg(F.array_sort(F.collect_set("cluster")).alias("row"))
+
+
+def cover_clusters(edges: DataFrame, z: DataFrame, most: int) -> DataFrame:
+    """vertex, step, cluster: up to ``most`` clusters that each add most weight of neighbours not yet covered, the lesser id among equals.
+
+    A step is a few joins over all vertices; covered neighbours leave, so a hub's edges are never gathered in one row."""
+    open_ = materialised(edges.join(z.select(F.col("vertex").alias("dst"), "cluster"), "dst").select("src", "dst", "cluster", "w"), "uncovered")
+    chosen = None
+    for step in range(most):
+        sums = open_.groupBy("src", "cluster").agg(F.sum("w").alias("w")).where("w > 0")
+        best = sums.groupBy("src").agg(F.max(F.struct(F.round("w", 9).alias("w"), (-F.col("cluster")).alias("c"))).alias("x")).select("src", (-F.col("x.c")).alias("cluster"))
+        best = materialised(best, "cover")
+        own = best.select(F.col("src").alias("vertex"), F.lit(step).alias("step"), "cluster")
+        chosen = own if chosen is None else chosen.unionByName(own)
+        if step + 1 == most or best.isEmpty():
+            break
+        covered = open_.join(best, ["src", "cluster"], "left_semi").select("src", "dst")
+        open_ = materialised(open_.join(covered, ["src", "dst"], "left_anti"), "uncovered")
+    return chosen
+
+
+def cover_subsets(chosen: DataFrame) -> DataFrame:
+    """vertex, row: every subset of two or more of a vertex' chosen clusters."""
+    lists = chosen.groupBy("vertex").agg(F.array_sort(F.collect_list("cluster")).alias("all")).where(F.size("all") > 1)
+    masks = lists.select("vertex", "all", F.explode(F.sequence(F.lit(3), F.expr("cast(shiftleft(1, size(all)) as int) - 1"))).alias("mask")).where(F.bit_count("mask") > 1)
+    return masks.select("vertex", F.filter("all", lambda c, i: F.call_function("shiftright", F.col("mask"), i).bitwiseAND(1) == 1).alias("row"))
+
+
+def set_proposals(edges: DataFrame, v: DataFrame, z: DataFrame, settings: Settings, epoch: int = 0) -> DataFrame:
+    """vertex, row: what each vertex of ``v`` with a neighbour proposes, by the settings' strategy; an empty row is a proposal."""
+    seed, some = settings.seed, v.where("deg > 0")
+    empty = F.array().cast("array<bigint>")
+    if settings.strategy in ("neighbors", "neighbors_and_cluster"):
+        drawn = fraction_proposals(edges, v, z, seed, epoch, settings.strategy == "neighbors_and_cluster")
+    elif settings.strategy == "random":
+        drawn = pure_random_proposals(some, settings.clusters, seed, epoch)
+    else:
+        singles = candidate_likelihoods(edges, v, z, settings.weight).select("vertex", F.when(F.col("cluster") < 0, empty).otherwise(F.array("cluster")).alias("row"), "ll")
+        if settings.strategy == "multiple":
+            sets = materialised(cover_subsets(cover_clusters(edges, z, settings.most_memberships)), "subsets")
+            singles = singles.unionByName(set_likelihoods(edges, v, z, sets, settings.weight))
+        now = rows_of(z).withColumnRenamed("row", "now")
+        rows = singles.join(now, "vertex", "left").where((F.size("row") == 0) | F.col("now").isNull() | (F.col("row") != F.col("now")))
+        key = F.array_join(F.transform("row", lambda c: c.cast("string")), " ")
+        noise = -F.log(-F.log(uniform("gumbel", seed, epoch, F.col("vertex"), key)))
+        return rows.groupBy("vertex").agg(F.max(F.struct((F.col("ll") + noise).alias("g"), "row")).alias("x")).select("vertex", F.col("x.row").alias("row"))
+    return some.select(F.col("id").alias("vertex")).join(rows_of(drawn), "vertex", "left").select("vertex", F.coalesce("row", empty).alias("row"))
+
+
+def set_steps(edges: DataFrame, v: DataFrame, z: DataFrame, settings: Settings, epoch: int = 0, batch: int | None = None) -> DataFrame:
+    """vertex, current, proposal (arrays of clusters), accepted, for vertices in any number of clusters."""
+    mine = v.where("deg > 0")
+    if batch is not None:
+        mine = mine.where(F.floor(uniform("deal", settings.seed, epoch, F.col("id")) * settings.batches) == batch)
+    own = edges.join(mine.select(F.col("id").alias("src")), "src", "left_semi")
+    empty = F.array().cast("array<bigint>")
+    proposed = set_proposals(own, v, z, settings, epoch).join(mine.select(F.col("id").alias("vertex")), "vertex", "left_semi")
+    now = rows_of(z).select("vertex", F.col("row").alias("current"))
+    both = materialised(proposed.join(now, "vertex", "left").select("vertex", F.coalesce("current", empty).alias("current"), F.col("row").alias("proposal")), "proposals")
+    ll = lambda c, name: set_likelihoods(own, v, z, both.select("vertex", F.col(c).alias("row")), settings.weight).select("vertex", F.col("ll").alias(name))
+    rows = both.join(ll("current", "old"), "vertex").join(ll("proposal", "new"), "vertex")
+    step = settings.multiplier(epoch) * (F.col("new") - F.col("old"))
+    moved = (F.col("proposal") != F.col("current")) & (F.log(uniform("accept", settings.seed, epoch, F.col("vertex"))) < step)
+    return rows.select("vertex", "current", "proposal", moved.alias("accepted"))
+
+
 def random_memberships(vertices: DataFrame, clusters: int, seed: int = 1) -> DataFrame:
     return vertices.select(F.col("id").alias("vertex"), F.floor(uniform("start", seed, F.col("id")) * clusters).cast("long").alias("cluster"))
 
 
 def applied(z: DataFrame, steps: DataFrame) -> DataFrame:
-    """z with the accepted proposals instead of those vertices' rows."""
+    """z with the accepted proposals instead of those vertices' rows; proposals are clusters (-1: none) or arrays of them."""
     moved = steps.where("accepted")
     stay = z.join(moved.select("vertex"), "vertex", "left_anti").select("vertex", "cluster")
+    if dict(steps.dtypes)["proposal"].startswith("array"):
+        return stay.unionByName(moved.select("vertex", F.explode("proposal").alias("cluster")))
     return stay.unionByName(moved.where("proposal >= 0").select("vertex", F.col("proposal").alias("cluster")))
 
 
-def fit(edges: DataFrame, vertices: DataFrame, settings: Settings, start: DataFrame | None = None) -> DataFrame:
-    """Memberships after epochs of batches until few vertices move, then divided into components and rid of small clusters."""
+def epoch_metrics(edges: DataFrame, vertices: DataFrame, z: DataFrame, clusters: int, epoch: int, moved: int, exact_edges: int = 5_000) -> DataFrame:
+    """One row for an epoch: what moved, the memberships' statistics, and how well they predict edges: exactly, or by samples in a graph of ``exact_edges`` or more."""
+    wanted = ["precision", "recall", "weighted_precision", "weighted_recall", "orphan_rate"]
+    small = edges.limit(2 * exact_edges).count() < 2 * exact_edges
+    found = (prediction_stats(edges, vertices, z) if small else sampled_stats(edges, vertices, z)).select(*wanted)
+    return found.crossJoin(matrix_stats(z, vertices, clusters)).select(F.lit(epoch).alias("epoch"), F.lit(moved).alias("moved"), *wanted, "nnz_per_row", "empty_row_share", "empty_col_share", "min_size", "max_size")  # one row each
+
+
+def metric_lines(rows: list) -> list[str]:
+    """A header and a line of fixed width for each row of ``epoch_metrics``."""
+    if not rows:
+        return []
+    names = rows[0].__fields__
+    return ["  ".join(f"{n:>18}" for n in names)] + ["  ".join(f"{'-' if x is None else x:>18.4f}" if isinstance(x, float) else f"{'-' if x is None else x:>18}" for x in r) for r in rows]
+
+
+def fit(edges: DataFrame, vertices: DataFrame, settings: Settings, start: DataFrame | None = None, history: list | None = None) -> DataFrame:
+    """Memberships after epochs of batches until few vertices move, then divided into components and rid of small clusters.
+
+    ``history`` gets a row of ``epoch_metrics`` for every ``settings.metrics_every`` epochs. A batch writes its steps and the
+    memberships; tables that nothing reads any more are deleted."""
     edges, v = materialised(edges, "graph"), materialised(vertex_degrees(edges, vertices), "degrees")
     n = v.count()
     z = materialised(start if start is not None else random_memberships(vertices, settings.clusters, settings.seed), "memberships")
+    step = propose if settings.strategy == "single" else set_steps
     for epoch in range(settings.max_epochs):
         moves = 0
         for batch in range(settings.batches):
-            steps = materialised(propose(edges, v, z, settings, epoch, batch), "steps")
-            z = materialised(applied(z, steps), "memberships")
+            steps = materialised(step(edges, v, z, settings, epoch, batch), "steps")
+            old, z = z, materialised(applied(z, steps), "memberships")
             moves += steps.where("accepted").count()
-        if moves < settings.least_moves * max(n, 1):
+            discarded(old, steps)
+        if history is not None and epoch % settings.metrics_every == 0:
+            history.append(epoch_metrics(edges, vertices, z, settings.clusters, epoch, moves).first())
+        if moves < settings.least_moves * max(n, 1) and not settings.all_epochs:
             break
     if settings.divide:
-        z = materialised(divided_clusters(edges, z, settings.remove_weak_links), "memberships")
+        old, z = z, materialised(divided_clusters(edges, z, settings.remove_weak_links), "memberships")
+        discarded(old)
     return remove_small_clusters(z, settings.least_size) if settings.least_size > 2 else z
 
 
+def k_sample(ids: DataFrame, k: int, seed: int = 1, tag: str = "sample") -> DataFrame:
+    """k of ids(id), the same for the same seed."""
+    return ids.select("id").orderBy(uniform(tag, seed, F.col("id")), "id").limit(k)
+
+
+def seeded_subneighborhoods(edges: DataFrame, vertices: DataFrame, k: int, seed: int = 1) -> DataFrame:
+    """vertex, cluster (its seed): the best prefix of the sorted neighbours of k seeds drawn at random; sets may overlap."""
+    seeds = k_sample(vertices, k, seed, "seeds").withColumnRenamed("id", "seed")
+    lists = neighbors_sorted(edges).select(F.col("src").alias("seed"), F.col("dst").alias("id"), "rank").join(F.broadcast(seeds), "seed", "left_semi")
+    best = best_prefixes(lists, edges, vertices)
+    return lists.join(best, "seed").where("rank <= n").select(F.col("id").alias("vertex"), F.col("seed").alias("cluster"))
+
+
+def padded(z: DataFrame, vertices: DataFrame, k: int, seed: int = 1) -> DataFrame:
+    """z with clusters of one random vertex each until there are k clusters; their ids follow the largest."""
+    have = z.agg(F.count_distinct("cluster").alias("n"), F.coalesce(F.max("cluster"), F.lit(-1)).alias("top")).first()
+    if have["n"] >= k:
+        return z
+    more = k_sample(vertices, k - have["n"], seed, "padding").select(F.col("id").alias("vertex"), (F.row_number().over(Window.orderBy("id")) + have["top"]).cast("long").alias("cluster"))
+    return z.select("vertex", "cluster").unionByName(more)
+
+
+def start_from(edges: DataFrame, vertices: DataFrame, settings: Settings) -> DataFrame:
+    """Starting memberships by ``settings.start``: neighborhoods of random cost, of least conductance, best sub-neighborhoods of random
+    seeds, or a random cluster for each vertex."""
+    k, seed = settings.clusters, settings.seed
+    if settings.start == "random":
+        return random_memberships(vertices, k, seed)
+    if settings.start == "seeds":
+        return seeded_subneighborhoods(edges, vertices, k, seed)
+    if settings.start == "best_neighborhood":
+        costs = neighborhood_conductance(edges, vertices).withColumnRenamed("conductance", "cost")
+    else:
+        costs = vertices.select("id", uniform("cost", seed, F.col("id")).alias("cost"))
+    z = bottom_neighborhoods(edges, costs, k, settings.strategy == "multiple")
+    return padded(z, vertices, k, seed)
+
+
 def bottom_neighborhoods(edges: DataFrame, costs: DataFrame, k: int, overlap: bool = False) -> DataFrame:
     """vertex, cluster (its centre): closed neighbourhoods of the k cheapest centres, each taken unless an earlier one covers it.
 
@@ -135,16 +306,22 @@ def bottom_neighborhoods(edges: DataFrame, costs: DataFrame, k: int, overlap: bo
     return all_.groupBy("vertex").agg(F.min("p").alias("p")).select("vertex", F.col("p.tie").alias("cluster"))
 
 
-def simclusters(bip: DataFrame, settings: Settings, threshold: float = 0.0, top_k: int | None = None, squared: bool = False, least_edges: int = 0, step_four: bool = True, log_values: bool = False, normalize_left: bool = False, right_threshold: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """(left, right) embeddings: projection, communities, affiliation scores, then both sides' sparse products."""
-    edges = project_right(bip, threshold)
-    edges = square_weights(edges) if squared else edges
+def simclusters(bip: DataFrame, settings: Settings, threshold: float = 0.0, top_k: int | None = None, squared: bool = False, least_edges: int = 0, step_four: bool = True, log_values: bool = False, normalize_left: bool = False, right_threshold: float = 0.0, normalize_right: bool = False, compatible: bool = True, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(left, right) embeddings: projection, communities, affiliation scores, then both sides' sparse products.
+
+    Communities start from ``start`` or by ``settings.start``. ``compatible`` (the default) keeps three habits of the original: left rows
+    are normalised by columns; step four divides by the norms before values changed; after squaring, scores use the degrees and mean of the
+    weights as they were, unless a top-k follows. Without it, rows are normalised by rows and all figures are fresh."""
+    plain = project_right(bip, threshold)
+    edges = square_weights(plain) if squared else plain
     edges = materialised(top_k_edges(edges, top_k) if top_k else edges, "projection")
     vertices = right_vertices(bip)
-    z = materialised(fit(edges, vertices, settings), "communities")
-    right = affiliations(edges, vertices, z).select(F.col("vertex").alias("row"), F.col("cluster").alias("col"), F.col("score").alias("value")).where("value > 0")
+    figures = plain if compatible and squared and not top_k else edges
+    z = materialised(fit(edges, vertices, settings, start if start is not None else start_from(edges, vertices, settings)), "communities")
+    right = affiliations(edges, vertices, z, figures).select(F.col("vertex").alias("row"), F.col("cluster").alias("col"), F.col("score").alias("value")).where("value > 0")
+    right = normalized(right, "col") if normalize_right else right
     left = materialised(left_embeddings(bip, right, least_edges), "left")
     before = norms(left, "col")
     left = log_transformed(left) if log_values else left
-    left = normalized(left, "col") if normalize_left else left
-    return left, right_embeddings(bip, left, before, right_threshold) if step_four else right
+    left = normalized(left, "col" if compatible else "row") if normalize_left else left
+    return left, right_embeddings(bip, left, before if compatible else None, right_threshold) if step_four else right

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.operators import components, embeddings, graph, membership, sampler
+from quillgraph.functions.tables import shared_dir
+from quillgraph.operators import components, embeddings, generator, graph, membership, sampler
+from quillgraph.sources import lines, memberships, metis
 
 #: Least cosine of the supplier graph's edges; cosines of suppliers by shared parts.
 CUT = 0.28
 WEIGHT, SEED = 5.0, 1
+STATS = ("precision", "recall", "f1", "weighted_precision", "weighted_recall", "weighted_f1", "orphan_rate")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +59,50 @@ def _steps(e: DataFrame, v: DataFrame, z: DataFrame) -> DataFrame:
 
 
 def _settings() -> sampler.Settings:
-    return sampler.Settings(clusters=25, max_epochs=5, seed=SEED)
+    return sampler.Settings(seed=SEED)
+
+
+def _again(write: Callable, read: Callable) -> Callable[[DataFrame, DataFrame, DataFrame], DataFrame]:
+    """What is read from the text files that were written."""
+
+    def work(e: DataFrame, v: DataFrame, z: DataFrame) -> DataFrame:
+        path = f"{shared_dir(e.sparkSession)}/lines-{uuid.uuid4().hex}"
+        write(e, v, z, path)
+        return read(e.sparkSession, path)
+
+    return work
+
+
+def _clusters(z: DataFrame) -> DataFrame:
+    return z.select(F.col("cluster").alias("id")).distinct()
+
+
+def _lefts_and_rights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bipartite text file of customers' nations and the suppliers' nations that they order from, written and read again."""
+    pairs = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    pairs = pairs.join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    bip = pairs.select(F.col("c_nationkey").cast("long").alias("l"), F.col("s_nationkey").cast("long").alias("r")).distinct()
+    side = lambda a, b, at: bip.groupBy(a).agg(F.array_sort(F.collect_list(b)).alias("xs")).select((F.col(a) + at).alias("line"), "xs")
+    nations = _table(spark, sf_dir, "nation").count()
+    body = spark.range(1, 2 * nations + 1).withColumnRenamed("id", "line").join(side("l", "r", 1).unionByName(side("r", "l", nations + 1)), "line", "left")
+    body = body.select("line", F.coalesce(F.array_join(F.transform("xs", lambda x: (x + 1).cast("string")), " "), F.lit("")).alias("value"))
+    head = bip.agg(F.count(F.lit(1)).alias("m")).select(F.lit(0).cast("long").alias("line"), F.concat_ws(" ", F.lit(str(nations)), F.lit(str(nations)), F.col("m").cast("string")).alias("value"))
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    lines.write_lines(head.unionByName(body), path)
+    return metis.read_bipartite_metis(spark, path).edges
+
+
+def _two_rows(z: DataFrame) -> DataFrame:
+    """Each supplier in its nation's cluster and in that of the next nation's number."""
+    return z.unionByName(z.select("vertex", ((F.col("cluster") + 1) % 25).alias("cluster")))
+
+
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A planted graph as large as the supplier table, and how well its own clusters predict its edges."""
+    n = _table(spark, sf_dir, "supplier").count()
+    plan = generator.Plan(clusters=max(2, n // 8), noise=0.2, least_p=0.5, most_p=0.7, least_size=30, most_size=60, high=0.2, low=0.05, high_share=0.15, seed=SEED)
+    made = generator.disjoint_clusters(spark, plan)
+    return membership.prediction_stats(made.edges, made.vertices, made.z)
 
 
 def _embedding(work: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -89,9 +136,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sum_rows": _on_graph(lambda e, v, z: membership.sum_rows(e, z), "w"),
     "sum_rows_contributors": _on_graph(lambda e, v, z: membership.sum_rows(e, z, True), "w"),
     "affiliation_scores": _on_graph(membership.affiliations, "score"),
-    "cluster_precision_exact": _on_graph(lambda e, v, z: membership.cluster_precision(e, z), "precision"),
+    "cluster_precision_exact": _on_graph(lambda e, v, z: membership.cluster_precision(e, v, z), "precision"),
     "orphans": _on_graph(lambda e, v, z: membership.orphans(e, z)),
-    "prediction_stats": _on_graph(membership.prediction_stats, "precision", "recall", "f1"),
+    "prediction_stats": _on_graph(membership.prediction_stats, *STATS),
     "connected_components": _on_graph(lambda e, v, z: components.connected_components(e, v)),
     "components_in_clusters": _on_graph(lambda e, v, z: components.divided_clusters(e, z)),
     "left_embeddings": _embedding(embeddings.left_embeddings),
@@ -103,7 +150,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "log_likelihood": _on_graph(lambda e, v, z: sampler.candidate_likelihoods(e, graph.vertex_degrees(e, v), z, WEIGHT), "ll"),
     "mh_single_batch": _on_graph(_steps),
     "mh_fraction_neighbors_batch": _on_graph(lambda e, v, z: sampler.fraction_proposals(e, graph.vertex_degrees(e, v), z, SEED)),
-    "mh_fraction_cluster_batch": _on_graph(lambda e, v, z: sampler.fraction_proposals(e, graph.vertex_degrees(e, v), z, SEED, with_size=True, average=0.3)),
+    "mh_fraction_cluster_batch": _on_graph(lambda e, v, z: sampler.fraction_proposals(e, graph.vertex_degrees(e, v), z, SEED, with_size=True)),
+    "metis_lines": _on_graph(lambda e, v, z: metis.metis_lines(e, v)),
+    "metis_lines_weighted": _on_graph(lambda e, v, z: metis.metis_lines(e, v, "%.3f")),
+    "metis_round_trip": _on_graph(_again(lambda e, v, z, path: metis.write_metis(e, v, path), lambda spark, path: metis.read_metis(spark, path).edges), "w"),
+    "bipartite_round_trip": _lefts_and_rights,
+    "membership_row_lines": _on_graph(lambda e, v, z: memberships.row_lines(z, v)),
+    "membership_column_lines": _on_graph(lambda e, v, z: memberships.column_lines(z, _clusters(z))),
+    "membership_round_trip": _on_graph(_again(lambda e, v, z, path: memberships.write(memberships.row_lines(z, v), path), memberships.read_rows)),
+    "scored_lines": _on_graph(lambda e, v, z: memberships.scored_lines(membership.affiliations(e, v, z).select(F.col("vertex").alias("row"), F.col("cluster").alias("col"), F.col("score").alias("value")), v, 25)),
+    "precision_lines": _on_graph(lambda e, v, z: memberships.precision_lines(membership.cluster_precision(e, v, z))),
+    "graph_violations": _on_graph(lambda e, v, z: metis.violations(e.where("(src + dst) % 7 <> 0 or src < dst").withColumn("w", F.when((F.col("src") + F.col("dst")) % 5 == 0, F.col("w") + F.col("src")).otherwise(F.col("w"))))),
+    "degree_distribution": _on_graph(lambda e, v, z: membership.degree_distribution(e, v), "p"),
+    "k_sample": _on_graph(lambda e, v, z: sampler.k_sample(v, 10, SEED)),
+    "seeded_subneighborhoods": _on_graph(lambda e, v, z: sampler.seeded_subneighborhoods(e, v, 20, SEED)),
+    "sampled_stats": _on_graph(lambda e, v, z: membership.sampled_stats(e, v, z, seed=SEED), "precision", "recall", "weighted_precision", "weighted_recall", "orphan_rate"),
+    "prediction_stats_overlapping": _on_graph(lambda e, v, z: membership.prediction_stats(e, v, _two_rows(z)), *STATS),
+    "set_likelihoods": _on_graph(lambda e, v, z: sampler.set_likelihoods(e, graph.vertex_degrees(e, v), z, sampler.rows_of(_two_rows(z)).where("vertex <= 1000"), WEIGHT).select("vertex", F.array_join(F.transform("row", lambda c: c.cast("string")), " ").alias("row"), "ll"), "ll"),
+    "log_likelihood_unweighted": _on_graph(lambda e, v, z: sampler.candidate_likelihoods(e.withColumn("w", F.lit(1.0)), graph.vertex_degrees(e.withColumn("w", F.lit(1.0)), v), z, WEIGHT), "ll"),
+    "cover_clusters": _on_graph(lambda e, v, z: sampler.cover_clusters(e, z, 2)),
+    "mh_pure_random_batch": _on_graph(lambda e, v, z: sampler.pure_random_proposals(v, 25, SEED)),
+    "mh_multi_membership": _on_graph(lambda e, v, z: sampler.set_steps(e, graph.vertex_degrees(e, v), _two_rows(z), sampler.Settings(seed=SEED, strategy="multiple")).select("vertex", *[F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c) for c in ("current", "proposal")], "accepted")),
+    "planted_partition": _ratio(*STATS, of=_planted),
     "sbf_fit": _on_graph(lambda e, v, z: sampler.fit(e, v, _settings())),
     "simclusters_fit": lambda s, d: _rounded(sampler.simclusters(_ps(s, d), _settings(), CUT)[1], "value"),
 }
@@ -143,6 +211,29 @@ SELECT id, round(CASE WHEN deg < 2 THEN 1.0 WHEN least(vol, {total} - vol) < 1e-
 FROM v JOIN vol ON v.id = vol.i LEFT JOIN cut ON v.id = cut.i, t"""
 
 
+_BEST = """, li AS (SELECT src AS seed, dst AS id, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS rank FROM e),
+inn AS (SELECT a.seed, a.rank, sum(w) AS inn FROM li a JOIN e ON a.id = e.src JOIN li b ON b.seed = a.seed AND b.id = e.dst WHERE b.rank < a.rank GROUP BY 1, 2),
+run AS (SELECT li.seed, li.rank, sum(wdeg - 2 * coalesce(inn, 0)) OVER o AS cut, sum(wdeg) OVER o AS vol FROM li JOIN v ON li.id = v.id LEFT JOIN inn ON li.seed = inn.seed AND li.rank = inn.rank WINDOW o AS (PARTITION BY li.seed ORDER BY li.rank ROWS UNBOUNDED PRECEDING)),
+con AS (SELECT seed, rank, round(CASE WHEN rank = 1 THEN 1.0 WHEN vol < 1e-9 OR total - vol < 1e-9 THEN NULL ELSE cut / least(vol, total - vol) END, 9) AS q FROM run, t),
+best AS (SELECT seed, rank, q FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY q, rank) AS k FROM con WHERE q IS NOT NULL) WHERE k = 1)"""
+
+_PRECISION = """, pr AS (SELECT a.cluster, sum(coalesce(e.w, 0)) AS w, sum(CASE WHEN e.w > 0 THEN e.w WHEN va.deg + vb.deg > 0 THEN (va.wdeg + vb.wdeg) / (va.deg + vb.deg) ELSE 0 END) AS den
+FROM z a JOIN z b ON a.cluster = b.cluster AND a.vertex < b.vertex JOIN v va ON a.vertex = va.id JOIN v vb ON b.vertex = vb.id LEFT JOIN e ON src = a.vertex AND dst = b.vertex GROUP BY 1),
+q AS (SELECT c.cluster, coalesce(w, 0) AS w, coalesce(den, 0) AS den FROM c LEFT JOIN pr ON c.cluster = pr.cluster) """
+
+_TWO = ", z2 AS (SELECT vertex, cluster FROM z UNION ALL SELECT vertex, (cluster + 1) % 25 FROM z)"
+
+
+def _stats(z: str) -> str:
+    """The prediction statistics of memberships ``z``, by listing all pairs."""
+    return f""", pp AS (SELECT DISTINCT a.vertex AS i, b.vertex AS j FROM {z} a JOIN {z} b ON a.cluster = b.cluster AND a.vertex < b.vertex),
+s AS (SELECT (SELECT count(*) FROM pp) AS predicted, (SELECT coalesce(sum(CASE WHEN a.deg + b.deg > 0 THEN (a.wdeg + b.wdeg) / (a.deg + b.deg) ELSE 0 END), 0) FROM pp JOIN v a ON i = a.id JOIN v b ON j = b.id) AS wpred,
+count(*) AS actual, coalesce(sum(w), 0) AS wact, count(pp.i) AS tp, coalesce(sum(CASE WHEN pp.i IS NOT NULL THEN w END), 0) AS wtp FROM (SELECT * FROM e WHERE src < dst) h LEFT JOIN pp ON h.src = pp.i AND h.dst = pp.j),
+r AS (SELECT s.*, coalesce(tp / nullif(predicted, 0), 0) AS p, coalesce(tp / nullif(actual, 0), 0) AS r, coalesce(wtp / nullif(wpred, 0), 0) AS wp, coalesce(wtp / nullif(wact, 0), 0) AS wr FROM s)
+SELECT actual, predicted, tp AS true_positive, CAST(t.n * (t.n - 1) / 2 AS BIGINT) - actual - predicted + tp AS true_negative, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1,
+round(wp, 6) AS weighted_precision, round(wr, 6) AS weighted_recall, round(coalesce(2 * wp * wr / nullif(wp + wr, 0), 0), 6) AS weighted_f1, round((SELECT avg(CASE WHEN deg = 0 THEN 1.0 ELSE 0.0 END) FROM v), 6) AS orphan_rate FROM r, t"""
+
+
 _LL = "SELECT vertex, cluster, round(ll, 6) AS ll FROM ll"
 
 ORACLE_SQL: dict[str, str] = {
@@ -169,20 +260,46 @@ SELECT CAST(i AS BIGINT) AS src, CAST(j AS BIGINT) AS dst, round(w, 6) AS w FROM
     "weak_links": _sql("SELECT src, dst, round(w, 6) AS w FROM e WHERE EXISTS (SELECT 1 FROM e a JOIN e b ON a.dst = b.dst WHERE a.src = e.src AND b.src = e.dst)"),
     "neighborhood_conductance": _sql(_conductance("w", "wdeg", "total")),
     "neighborhood_conductance_unweighted": _sql(_conductance("1.0::DOUBLE", "deg::DOUBLE", "k")),
-    "best_subneighborhoods": _sql(""", li AS (SELECT src AS seed, dst AS id, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS rank FROM e),
-inn AS (SELECT a.seed, a.rank, sum(w) AS inn FROM li a JOIN e ON a.id = e.src JOIN li b ON b.seed = a.seed AND b.id = e.dst WHERE b.rank < a.rank GROUP BY 1, 2),
-run AS (SELECT li.seed, li.rank, sum(wdeg - 2 * coalesce(inn, 0)) OVER o AS cut, sum(wdeg) OVER o AS vol FROM li JOIN v ON li.id = v.id LEFT JOIN inn ON li.seed = inn.seed AND li.rank = inn.rank WINDOW o AS (PARTITION BY li.seed ORDER BY li.rank ROWS UNBOUNDED PRECEDING)),
-con AS (SELECT seed, rank, round(CASE WHEN rank = 1 THEN 1.0 WHEN vol < 1e-9 OR total - vol < 1e-9 THEN NULL ELSE cut / least(vol, total - vol) END, 9) AS q FROM run, t)
-SELECT seed, rank AS n, round(q, 6) AS conductance FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY q, rank) AS k FROM con WHERE q IS NOT NULL) WHERE k = 1"""),
+    "best_subneighborhoods": _sql(_BEST + " SELECT seed, rank AS n, round(q, 6) AS conductance FROM best"),
     "matrix_stats": _sql("SELECT round((SELECT count(*) FROM z) / (SELECT count(*) FROM v), 6) AS nnz_per_row, round(((SELECT count(*) FROM v) - (SELECT count(DISTINCT vertex) FROM z)) / (SELECT count(*) FROM v), 6) AS empty_row_share, round((30 - count(*)) / 30, 6) AS empty_col_share, min(size) AS min_size, max(size) AS max_size FROM c"),
     "column_union_size": _sql("SELECT count(DISTINCT vertex) AS n FROM z WHERE cluster IN (1, 2, 3)"),
     "small_cluster_filter": _sql("SELECT vertex, fresh AS cluster FROM z JOIN (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS fresh FROM c WHERE size >= 4) k ON z.cluster = k.cluster"),
     "sum_rows": _sql("SELECT vertex, cluster, n, round(w, 6) AS w FROM sets"),
     "sum_rows_contributors": _sql("SELECT vertex, cluster, n, round(w, 6) AS w, contributors FROM sets"),
     "affiliation_scores": _sql("SELECT vertex, cluster, round(score, 6) AS score FROM aff"),
-    "cluster_precision_exact": _sql(", i AS (SELECT a.cluster, count(*) AS n, sum(w) AS w FROM e JOIN z a ON src = a.vertex JOIN z b ON dst = b.vertex AND a.cluster = b.cluster WHERE src < dst GROUP BY 1), q AS (SELECT c.cluster, coalesce(w, 0) AS w, coalesce(w, 0) + avg_w * (size * (size - 1) / 2.0 - coalesce(i.n, 0)) AS den FROM c LEFT JOIN i ON c.cluster = i.cluster, t) SELECT cluster, round(CASE WHEN den > 0 THEN w / den ELSE 0 END, 6) AS precision FROM q"),
+    "cluster_precision_exact": _sql(_PRECISION + "SELECT cluster, round(CASE WHEN den > 0 THEN w / den ELSE 0 END, 6) AS precision FROM q"),
+    "precision_lines": _sql(_PRECISION + "SELECT row_number() OVER (ORDER BY cluster) AS line, printf('%.2f', CASE WHEN den > 0 THEN w / den ELSE 0 END) AS value FROM q"),
     "orphans": _sql("SELECT DISTINCT vertex FROM z WHERE NOT EXISTS (SELECT 1 FROM e JOIN z b ON dst = b.vertex WHERE src = z.vertex AND b.cluster = z.cluster)"),
-    "prediction_stats": _sql(", s AS (SELECT (SELECT CAST(k / 2 AS BIGINT) FROM t) AS actual, (SELECT CAST(sum(size * (size - 1) / 2) AS BIGINT) FROM c) AS predicted, (SELECT count(*) FROM e JOIN z a ON src = a.vertex JOIN z b ON dst = b.vertex AND a.cluster = b.cluster WHERE src < dst) AS true_positive), p AS (SELECT *, CASE WHEN predicted > 0 THEN true_positive / predicted ELSE 0 END AS p, CASE WHEN actual > 0 THEN true_positive / actual ELSE 0 END AS r FROM s) SELECT actual, predicted, true_positive, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM p"),
+    "prediction_stats": _sql(_stats("z")),
+    "prediction_stats_overlapping": _sql(_TWO + _stats("z2")),
+    "metis_lines": _sql("SELECT 0::BIGINT AS line, CAST((SELECT count(*) FROM v) AS VARCHAR) || ' ' || CAST((SELECT count(*) // 2 FROM e) AS VARCHAR) AS value UNION ALL SELECT id + 1, coalesce(string_agg(CAST(dst + 1 AS VARCHAR), ' ' ORDER BY dst), '') FROM v LEFT JOIN e ON id = src GROUP BY id"),
+    "metis_lines_weighted": _sql("SELECT 0::BIGINT AS line, CAST((SELECT count(*) FROM v) AS VARCHAR) || ' ' || CAST((SELECT count(*) // 2 FROM e) AS VARCHAR) || ' 1' AS value UNION ALL SELECT id + 1, coalesce(string_agg(CAST(dst + 1 AS VARCHAR) || ' ' || printf('%.3f', w), ' ' ORDER BY dst), '') FROM v LEFT JOIN e ON id = src GROUP BY id"),
+    "metis_round_trip": _sql("SELECT src, dst, 1.0::DOUBLE AS w FROM e"),
+    "bipartite_round_trip": "SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS l, CAST(s_nationkey AS BIGINT) AS r FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey",
+    "membership_row_lines": _sql("SELECT id + 1 AS line, coalesce(string_agg(CAST(cluster + 1 AS VARCHAR), ' ' ORDER BY cluster), '') AS value FROM v LEFT JOIN z ON id = vertex GROUP BY id"),
+    "membership_column_lines": _sql("SELECT cluster + 1 AS line, string_agg(CAST(vertex + 1 AS VARCHAR), ' ' ORDER BY vertex) AS value FROM z GROUP BY cluster"),
+    "membership_round_trip": _sql("SELECT vertex, cluster FROM z JOIN v ON vertex = id"),
+    "scored_lines": _sql("SELECT 0::BIGINT AS line, CAST((SELECT count(*) FROM v) AS VARCHAR) || ' 25' AS value UNION ALL SELECT id + 1, coalesce(string_agg(CAST(cluster + 1 AS VARCHAR) || ':' || CASE WHEN score = 0 THEN '0.0' ELSE printf('%.*f', CAST(1 - floor(log10(round(score, CAST(1 - floor(log10(score)) AS INT)))) AS INT), score) END, ' ' ORDER BY cluster), '') FROM v LEFT JOIN aff ON id = vertex GROUP BY id"),
+    "graph_violations": _sql(", x AS (SELECT src, dst, CASE WHEN (src + dst) % 5 = 0 THEN w + src ELSE w END AS w FROM e WHERE (src + dst) % 7 <> 0 OR src < dst) SELECT CASE WHEN y.w IS NULL THEN 'one-sided' ELSE 'weights differ' END AS kind, x.src, x.dst FROM x LEFT JOIN x y ON x.src = y.dst AND x.dst = y.src WHERE y.w IS NULL OR abs(x.w - y.w) > 1e-5"),
+    "degree_distribution": _sql("SELECT id, round(deg / CAST(k AS DOUBLE), 6) AS p FROM v, t"),
+    "k_sample": _sql(f"SELECT id FROM v ORDER BY {_u(chr(39) + 'sample' + chr(39), chr(39) + str(SEED) + chr(39), 'id')}, id LIMIT 10"),
+    "seeded_subneighborhoods": _sql(f""", seeds AS (SELECT id AS seed FROM v ORDER BY {_u(chr(39) + 'seeds' + chr(39), chr(39) + str(SEED) + chr(39), 'id')}, id LIMIT 20)""" + _BEST + """, li2 AS (SELECT * FROM li WHERE seed IN (SELECT seed FROM seeds))
+SELECT li2.id AS vertex, li2.seed AS cluster FROM li2 JOIN best ON li2.seed = best.seed WHERE li2.rank <= best.rank"""),
+    "set_likelihoods": _sql(_TWO + f""", hit AS (SELECT src AS vertex, count(*) AS n, sum(w) AS w FROM e WHERE EXISTS (SELECT 1 FROM z2 JOIN z ON z2.cluster = z.cluster WHERE z2.vertex = e.src AND z.vertex = e.dst) GROUP BY 1),
+un AS (SELECT z2.vertex, count(DISTINCT z.vertex) AS size FROM z2 JOIN z ON z2.cluster = z.cluster GROUP BY 1),
+names AS (SELECT vertex, string_agg(CAST(cluster AS VARCHAR), ' ' ORDER BY cluster) AS "row" FROM z2 GROUP BY 1)
+SELECT id AS vertex, "row", round({WEIGHT} * coalesce(hit.w, 0) + (t.n - coalesce(size, 0) - (deg - coalesce(hit.n, 0))) * (wdeg / nullif(deg, 0)), 6) AS ll FROM names JOIN v ON names.vertex = id LEFT JOIN hit ON id = hit.vertex LEFT JOIN un ON id = un.vertex, t WHERE id <= 1000"""),
+    "log_likelihood_unweighted": _sql(f"SELECT cand.vertex, cand.cluster, round({WEIGHT} * cand.n + (t.n - size - (deg - cand.n)), 6) AS ll FROM cand JOIN v ON vertex = id, t"),
+    "cover_clusters": _sql(""", own AS (SELECT src, dst, cluster, w FROM e JOIN z ON dst = z.vertex),
+s1 AS (SELECT src, cluster FROM (SELECT src, cluster, row_number() OVER (PARTITION BY src ORDER BY round(sum(w), 9) DESC, cluster) AS k FROM own GROUP BY src, cluster) WHERE k = 1),
+rest AS (SELECT own.* FROM own WHERE NOT EXISTS (SELECT 1 FROM own o JOIN s1 ON o.src = s1.src AND o.cluster = s1.cluster WHERE o.src = own.src AND o.dst = own.dst)),
+s2 AS (SELECT src, cluster FROM (SELECT src, cluster, row_number() OVER (PARTITION BY src ORDER BY round(sum(w), 9) DESC, cluster) AS k FROM rest GROUP BY src, cluster) WHERE k = 1)
+SELECT src AS vertex, 0::BIGINT AS step, cluster FROM s1 UNION ALL SELECT src, 1, cluster FROM s2"""),
+    "mh_pure_random_batch": _sql(f"SELECT id AS vertex, CAST(k.cluster AS BIGINT) AS cluster FROM v, range(25) k(cluster) WHERE {_u(chr(39) + 'coin' + chr(39), chr(39) + str(SEED) + chr(39), chr(39) + '0' + chr(39), 'id', 'k.cluster')} < 0.5"),
+    "components_in_clusters": _sql(""", inner_ AS (SELECT a.cluster, src, dst FROM e JOIN z a ON src = a.vertex JOIN z b ON dst = b.vertex AND a.cluster = b.cluster),
+strong AS (SELECT * FROM inner_ i WHERE EXISTS (SELECT 1 FROM inner_ a JOIN inner_ b ON a.dst = b.dst AND a.cluster = b.cluster WHERE a.cluster = i.cluster AND a.src = i.src AND b.src = i.dst)),
+lab AS (WITH RECURSIVE w(cluster, a, b) AS (SELECT z.cluster, vertex, vertex FROM z JOIN c ON z.cluster = c.cluster WHERE size > 1 UNION SELECT w.cluster, w.a, strong.dst FROM w JOIN strong ON w.b = strong.src AND w.cluster = strong.cluster) SELECT cluster, a AS id, min(b) AS component FROM w GROUP BY 1, 2)
+SELECT id AS vertex, dense_rank() OVER (ORDER BY cluster, component) - 1 AS cluster FROM lab"""),
     "connected_components": _sql(", reach AS (SELECT id AS a, id AS b FROM v) SELECT id, component FROM (WITH RECURSIVE w(a, b) AS (SELECT id, id FROM v UNION SELECT w.a, e.dst FROM w JOIN e ON w.b = e.src) SELECT a AS id, min(b) AS component FROM w GROUP BY a)"),
     "left_embeddings": _sql('SELECT CAST(l AS BIGINT) AS "row", col, round(value, 6) AS value FROM lefts'),
     "left_embeddings_threshold": _sql('SELECT CAST(l AS BIGINT) AS "row", col, round(value, 6) AS value FROM lefts WHERE n >= 2'),
@@ -198,5 +315,5 @@ old AS (SELECT vertex, ll AS old FROM cur WHERE cluster = current)
 SELECT best.vertex, current, best.cluster AS proposal, best.cluster <> current AND ln({_u("'accept'", f"'{SEED}'", "'0'", "best.vertex")}) < 0.5 * (ll - coalesce(old, (t.n - coalesce(size, 0) - deg) * (wdeg / deg))) AS accepted
 FROM best JOIN v ON best.vertex = v.id LEFT JOIN c ON c.cluster = current LEFT JOIN old ON old.vertex = best.vertex, t WHERE best.k = 1"""),
     "mh_fraction_neighbors_batch": _sql(f"SELECT sets.vertex, sets.cluster FROM sets JOIN v ON sets.vertex = id WHERE {_u(chr(39) + 'fraction' + chr(39), f'{chr(39)}{SEED}{chr(39)}', chr(39) + '0' + chr(39), 'sets.vertex', 'sets.cluster')} < w / wdeg"),
-    "mh_fraction_cluster_batch": _sql(f"SELECT sets.vertex, sets.cluster FROM sets JOIN v ON sets.vertex = id JOIN c ON sets.cluster = c.cluster WHERE {_u(chr(39) + 'fraction' + chr(39), f'{chr(39)}{SEED}{chr(39)}', chr(39) + '0' + chr(39), 'sets.vertex', 'sets.cluster')} < w / (wdeg + 0.3 * (size - n))"),
+    "mh_fraction_cluster_batch": _sql(f"SELECT sets.vertex, sets.cluster FROM sets JOIN v ON sets.vertex = id JOIN c ON sets.cluster = c.cluster WHERE {_u(chr(39) + 'fraction' + chr(39), f'{chr(39)}{SEED}{chr(39)}', chr(39) + '0' + chr(39), 'sets.vertex', 'sets.cluster')} < w / (wdeg + w / n * (size - n))"),
 }
