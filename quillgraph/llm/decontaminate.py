@@ -57,6 +57,7 @@ def ranked_windows(index: DataFrame, owned: DataFrame, probes: int = PROBES) ->
     terms = phrases.select("wid", F.posexplode("phrase").alias("offset", "term"))
     vocabulary = with_bounded_side(terms.select("term").distinct())
     counts = index.select(F.explode("words").alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(counts, "term-counts")
     rank = F.row_number().over(Window.partitionBy("wid").orderBy("n", "offset"))  # a window has at most ``window`` terms
     rarest = terms.join(counts, "term").withColumn("rank", rank).where(F.col("rank") <= probes)
     lists = rarest.groupBy("wid").agg(F.sort_array(F.collect_list(F.struct("n", "offset", "term"))).alias("probes"))
@@ -69,74 +70,60 @@ def _blocks(windows: DataFrame) -> list[DataFrame]:
     """The windows in blocks of about ``BLOCK`` bytes at most."""
     size = windows.agg(F.sum(F.octet_length(F.array_join("phrase", " ")) * 4 + 400)).first()[0] or 0
     n = -(-size // BLOCK)
-    return [F.broadcast(windows.where(F.pmod(F.xxhash64("wid"), F.lit(n)) == i)) for i in range(n)]
+    return [windows.where(F.pmod(F.xxhash64("wid"), F.lit(n)) == i) for i in range(n)]
 
 
-def _postings(index: DataFrame, block: DataFrame, match: Column) -> DataFrame:
-    """row, wid, pos, len, offset of the postings of the windows' rarest terms that ``match``."""
-    own = index.select("row", "words", F.posexplode("words").alias("pos", "term"))
-    block = block.select("wid", "phrase", "len", "probes", F.col("probes")[0]["offset"].alias("offset"), F.col("probes")[0]["term"].alias("rarest"))
-    return own.join(block, (F.col("term") == F.col("rarest")) & match).select("row", "wid", "pos", "offset", "len")
-
-
-def find(index: DataFrame, windows: DataFrame, probes: int = PROBES) -> DataFrame | None:
-    """row, wid, start (from 0), len of every exact occurrence; None if there are no windows."""
+def occurrences(index: DataFrame, windows: DataFrame, span: int = SPAN, probes: int = PROBES) -> DataFrame | None:
+    """row, wid, start (from 0), len, exact of the postings of a window's rarest term where all of the window's words, each as often as
+    it has them, are among ``span`` words in a row; ``exact`` where they are the window itself, beginning at ``start``. None without windows."""
     at = F.col("pos") - F.col("offset") + 1  # of the window's first word, from 1
-    match = (at >= 1) & (at + F.col("len") - 1 <= F.size("words"))
+    exact = (at >= 1) & (at + F.col("len") - 1 <= F.size("words"))
+    first, last = F.greatest(F.col("pos") - (span - 1), F.lit(0)), F.least(F.col("pos"), F.size("words") - 1)
+    around = F.slice("words", first + 1, 2 * span - 1)
+    close = F.lit(True)
     for k in range(1, probes):  # get() gives null beyond the end, as for a window of fewer terms
         next_ = F.get("probes", F.lit(k))
-        match = match & (next_.isNull() | (F.get("words", at - 1 + next_["offset"]) == next_["term"]))
-    match = match & (F.slice("words", F.greatest(at, F.lit(1)), F.col("len")) == F.col("phrase"))
-    found = [_postings(index, b, match).select("row", "wid", (F.col("pos") - F.col("offset")).alias("start"), "len") for b in _blocks(windows)]
-    out = None
-    for f in found:
-        out = f if out is None else out.union(f)
-    return out
-
-
-def near(index: DataFrame, windows: DataFrame, span: int = SPAN) -> DataFrame | None:
-    """row, wid, pos: postings of a window's rarest term with all of its words, each as often as it has it, among ``span`` words in a row."""
-    first, last = F.greatest(F.col("pos") - (span - 1), F.lit(0)), F.least(F.col("pos"), F.size("words") - 1)
+        exact = exact & (next_.isNull() | (F.get("words", at - 1 + next_["offset"]) == next_["term"]))
+        close = close & (next_.isNull() | F.array_contains(around, next_["term"]))
+    exact = F.coalesce(exact & (F.slice("words", F.greatest(at, F.lit(1)), F.col("len")) == F.col("phrase")), F.lit(False))
     holds = lambda s: F.forall("phrase", lambda w: F.size(F.filter(F.slice("words", s + 1, span), lambda x: x == w)) >= F.size(F.filter("phrase", lambda x: x == w)))
-    around = F.slice("words", first + 1, 2 * span - 1)
-    match = (F.size(F.array_except("phrase", around)) == 0) & F.exists(F.sequence(first, last), holds)
-    found = [_postings(index, b, match).select("row", "wid", "pos") for b in _blocks(windows)]
+    close = close & (F.size(F.array_except("phrase", around)) == 0) & F.exists(F.sequence(first, last), holds)
+    own = index.select("row", "words", F.posexplode("words").alias("pos", "term"))
     out = None
-    for f in found:
-        out = f if out is None else out.union(f)
+    for block in _blocks(windows):
+        side = block.select("wid", "phrase", "len", "probes", F.col("probes")[0]["offset"].alias("offset"), F.col("probes")[0]["term"].alias("rarest"))
+        got = own.join(F.broadcast(side), (F.col("term") == F.col("rarest")) & (exact | close)).select("row", "wid", (F.col("pos") - F.col("offset")).alias("start"), "len", exact.alias("exact"))
+        out = got if out is None else out.union(got)
     return out
 
 
-def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash of every row."""
+def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, span: int = SPAN) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (items with a proximity match), text_hash of every row."""
     index = indexed(docs)
     owned = written(windows_of(items, window), "windows")
     windows = written(ranked_windows(index, owned), "ranked-windows")
     rows = index.select("row", "doc_id", "text_hash", F.size("words").cast("long").alias("n_words"))
-    nothing = F.lit(None).cast("array<string>")
-    found = find(index, windows)
+    zero = F.lit(0).cast("long")
+    found = occurrences(index, windows, span)
     if found is None:
-        out = rows.select("doc_id", "text_hash", "n_words", F.lit(0).cast("long").alias("n_hit"), nothing.alias("ids"))
+        out = rows.withColumns({"n_hit": zero, "n_near": zero, "ids": F.lit(None).cast("array<string>")})
     else:
         found = written(found, "occurrences")
         dropped(windows)
-        named = found.select("row", "wid").distinct().join(with_bounded_side(owned.select("wid", "item_id")), "wid")
-        named = named.groupBy("row").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
-        hit = found.select("row", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("p")).distinct()
+        named = found.groupBy("row", "wid").agg(F.max("exact").alias("exact")).join(with_bounded_side(owned.select("wid", F.col("item_id").cast("string").alias("item_id"))), "wid")
+        named = named.groupBy("row").agg(F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("item_id")))).alias("ids"), F.count_distinct("item_id").alias("n_near"))
+        hit = found.where("exact").select("row", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("p")).distinct()
         hit = hit.groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
-        out = rows.join(hit.join(named, "row"), "row", "left").select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), "ids")
+        out = rows.join(named.join(hit, "row", "left"), "row", "left").withColumns({"n_hit": F.coalesce("n_hit", zero), "n_near": F.coalesce("n_near", zero)})
     ids = F.coalesce("ids", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "text_hash")
+    return out.select("doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near", "text_hash")
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, span: int = SPAN) -> DataFrame:
-    """doc_id, item_id, kind (exact, near), n of every row with occurrences: exact ones count starts, near ones postings of the rarest term."""
+    """row, doc_id, item_id, phrase, start, exact: every match of a document's row, exact or by proximity."""
     index = indexed(docs)
     owned = written(windows_of(items, window), "windows")
-    windows = written(ranked_windows(index, owned), "ranked-windows")
-    exact, close = find(index, windows), near(index, windows, span)
-    if exact is None:
-        return index.select("doc_id", F.lit("").alias("item_id"), F.lit("").alias("kind"), F.lit(0).cast("long").alias("n")).where("false")
-    both = exact.select("row", "wid", F.lit("exact").alias("kind")).union(close.select("row", "wid", F.lit("near").alias("kind")))
-    both = both.groupBy("row", "wid", "kind").agg(F.count(F.lit(1)).alias("n")).join(with_bounded_side(owned.select("wid", "item_id")), "wid")
-    return both.join(index.select("row", "doc_id"), "row").groupBy("row", "doc_id", "item_id", "kind").agg(F.sum("n").alias("n")).drop("row")
+    found = occurrences(index, written(ranked_windows(index, owned), "ranked-windows"), span)
+    if found is None:
+        return index.select("row", "doc_id", F.lit("").alias("item_id"), F.col("words").alias("phrase"), F.lit(0).alias("start"), F.lit(False).alias("exact")).where("false")
+    return found.join(with_bounded_side(owned), "wid").join(index.select("row", "doc_id"), "row").select("row", "doc_id", "item_id", "phrase", "start", "exact")
