@@ -81,6 +81,15 @@ near AS (SELECT r, count(DISTINCT item_id) AS n_near FROM (SELECT r, w, item_id,
   WHERE list_contains(ph, w[s]) AND list_has_all(w[s : s + 14], ph) AND len(list_filter(ph, lambda x: len(list_filter(w[s : s + 14], lambda y: y = x)) < len(list_filter(ph, lambda y: y = x)))) = 0 GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
 FROM d LEFT JOIN n_hit ON d.r = n_hit.r LEFT JOIN ids ON d.r = ids.r LEFT JOIN near ON d.r = near.r""",
+    "op7_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(coalesce(text, ''))) AS no, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT no, p, substr(h, 2 * p + 1, 200) AS s FROM (SELECT no, h, unnest(range(0, len(h) // 2 - 99)) AS p FROM d WHERE len(h) >= 200)),
+later AS (SELECT no, p FROM (SELECT no, p, row_number() OVER (PARTITION BY s ORDER BY no, p) AS k FROM w) WHERE k > 1),
+begun AS (SELECT no, p, CASE WHEN p <= lag(p) OVER (PARTITION BY no ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM later),
+runs AS (SELECT no, min(p) AS lo, max(p) + 100 AS hi FROM (SELECT no, p, sum(fresh) OVER (PARTITION BY no ORDER BY p) AS g FROM begun) GROUP BY no, g),
+parts AS (SELECT no, lo, hi, lead(lo) OVER (PARTITION BY no ORDER BY lo) AS following FROM runs),
+cut AS (SELECT d.no, count(*) AS n_spans, sum(hi - lo) AS n_removed, substr(any_value(h), 1, 2 * min(lo)) || string_agg(substr(h, 2 * hi + 1, 2 * (coalesce(following, len(h) // 2) - hi)), '' ORDER BY lo) AS kept FROM parts JOIN d ON parts.no = d.no GROUP BY d.no)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN cut ON d.no = cut.no""",
     "op9_url_filters": f"""
 WITH listed(h, p, v) AS (VALUES {_RULES}),
 cut AS (SELECT page_id, row_number() OVER () AS r, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS u FROM pages),
