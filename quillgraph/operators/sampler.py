@@ -5,6 +5,7 @@ Every random choice is a function of (seed, epoch, vertex, candidate), so a lost
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -231,12 +232,13 @@ def fit(edges: DataFrame, vertices: DataFrame, settings: Settings, start: DataFr
     z = materialised(start if start is not None else random_memberships(vertices, settings.clusters, settings.seed), "memberships")
     step = propose if settings.strategy == "single" else set_steps
     for epoch in range(settings.max_epochs):
-        moves = 0
+        done = []
         for batch in range(settings.batches):
-            steps = materialised(step(edges, v, z, settings, epoch, batch), "steps")
-            old, z = z, materialised(applied(z, steps), "memberships")
-            moves += steps.where("accepted").count()
-            discarded(old, steps)
+            done.append(materialised(step(edges, v, z, settings, epoch, batch), "steps"))
+            old, z = z, materialised(applied(z, done[-1]), "memberships")
+            discarded(old)
+        moves = reduce(DataFrame.unionByName, [d.select("accepted") for d in done]).where("accepted").count()
+        discarded(*done)
         if history is not None and epoch % settings.metrics_every == 0:
             history.append(epoch_metrics(edges, vertices, z, settings.clusters, epoch, moves).first())
         if moves < settings.least_moves * max(n, 1) and not settings.all_epochs:

@@ -59,7 +59,7 @@ def _steps(e: DataFrame, v: DataFrame, z: DataFrame) -> DataFrame:
 
 
 def _settings() -> sampler.Settings:
-    return sampler.Settings(seed=SEED)
+    return sampler.Settings(max_epochs=8, seed=SEED)
 
 
 def _again(write: Callable, read: Callable) -> Callable[[DataFrame, DataFrame, DataFrame], DataFrame]:
