@@ -62,20 +62,23 @@ def test_stored_ids_of_odd_rows(odd):
         at += len(ids)
 
 
-def test_an_id_prunes_stripes(spark, tmp_path):
-    docs = spark.range(40_000).selectExpr("id doc_id", "concat('word ', id) text")
-    path = str(tmp_path / "ids")
-    tokens.write(docs, path)
-    table = tokens.stored(spark, path)
-    one = table.where("doc_id = 31234")
-    assert "EqualTo(doc_id,31234)" in one._jdf.queryExecution().executedPlan().toString().replace(" ", "")
-    rows = one.collect()
-    assert len(rows) == 1 and rows[0].n_tokens == len(rows[0].ids)
-    # rows that reach Spark's filter: a row group (10,000 rows) of one file at most
-    plan = one._jdf.queryExecution().executedPlan()
-    plan.executeCollect()
-    read = plan.collectLeaves().head().metrics().apply("numOutputRows").value()
-    assert 1 <= read <= 10_000
+def test_an_id_prunes_row_groups(spark, tmp_path):
+    """One file of 40,000 rows: a condition on doc_id lets one row group (10,000 rows) of it reach Spark, and an id that is not there none."""
+    path, before = str(tmp_path / "ids"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        tokens.write(spark.range(40_000).selectExpr("2 * id doc_id", "concat('word ', id) text"), path)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+    def read(condition):
+        plan = tokens.stored(spark, path).where(condition)._jdf.queryExecution().executedPlan()
+        found = len(plan.executeCollect())
+        return found, plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+
+    assert read("doc_id >= 0") == (40_000, 40_000)
+    assert read("doc_id = 31234") == (1, 10_000)
+    assert read("doc_id = 31235") == (0, 0)  # within the range of a row group; the Bloom filter rules it out
 
 
 def test_scores_of_odd_rows(spark, odd):
