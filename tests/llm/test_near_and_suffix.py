@@ -83,9 +83,10 @@ def test_a_large_group_of_near_copies(spark):
     assert all(want[i] == want[got[i]] for i in got)
 
 
-def test_frequencies_do_not_depend_on_tasks(spark):
+def test_frequencies_do_not_depend_on_tasks(spark, monkeypatch):
     rng = random.Random(3)
     docs = spark.createDataFrame([(i, prose(rng, 30) + " the end of every such text is this") for i in range(200)], "doc_id long, text string")
+    monkeypatch.setattr(neardup, "TASK", 500)
     table = neardup.shingled(docs)
     one, many = (neardup.frequencies(table.repartition(n), 500) for n in (1, 9))
     assert (one.hashes == many.hashes).all() and (one.idf == many.idf).all() and one.rare == many.rare
