@@ -98,11 +98,11 @@ def _two_rows(z: DataFrame) -> DataFrame:
 
 
 def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A planted graph as large as the supplier table, and how well its own clusters predict its edges."""
-    n = _table(spark, sf_dir, "supplier").count()
-    plan = generator.Plan(clusters=max(2, n // 8), noise=0.2, least_p=0.5, most_p=0.7, least_size=30, most_size=60, high=0.2, low=0.05, high_share=0.15, seed=SEED)
-    made = generator.disjoint_clusters(spark, plan)
-    return membership.prediction_stats(made.edges, made.vertices, made.z)
+    """Edges planted in the suppliers' nations, and how well the nations predict them."""
+    z = _z(spark, sf_dir)
+    plan = generator.Plan(clusters=25, noise=0.2, least_p=0.5, most_p=0.7, least_size=3, most_size=60, high=0.2, low=0.05, high_share=0.15, seed=SEED)
+    made = generator.planted_on(plan, z, z.count())
+    return membership.prediction_stats(made.edges, made.vertices, z)
 
 
 def _embedding(work: Callable) -> Callable[[SparkSession, str], DataFrame]:
