@@ -73,32 +73,35 @@ def _blocks(windows: DataFrame) -> list[DataFrame]:
     return [windows.where(F.pmod(F.xxhash64("wid"), F.lit(n)) == i) for i in range(n)]
 
 
-def occurrences(index: DataFrame, windows: DataFrame, span: int = SPAN, probes: int = PROBES) -> DataFrame | None:
+def occurrences(index: DataFrame, windows: DataFrame, span: int | None = SPAN, probes: int = PROBES) -> DataFrame | None:
     """row, wid, start (from 0), len, exact of the postings of a window's rarest term where all of the window's words, each as often as
-    it has them, are among ``span`` words in a row; ``exact`` where they are the window itself, beginning at ``start``. None without windows."""
+    it has them, are among ``span`` words in a row; ``exact`` where they are the window itself, beginning at ``start``. Without a ``span``, exact ones only. None without windows."""
+    wide = span or 1
     at = F.col("pos") - F.col("offset") + 1  # of the window's first word, from 1
     exact = (at >= 1) & (at + F.col("len") - 1 <= F.size("words"))
-    first, last = F.greatest(F.col("pos") - (span - 1), F.lit(0)), F.least(F.col("pos"), F.size("words") - 1)
-    around = F.slice("words", first + 1, 2 * span - 1)
+    first, last = F.greatest(F.col("pos") - (wide - 1), F.lit(0)), F.least(F.col("pos"), F.size("words") - 1)
+    around = F.slice("words", first + 1, 2 * wide - 1)
     close = F.lit(True)
     for k in range(1, probes):  # get() gives null beyond the end, as for a window of fewer terms
         next_ = F.get("probes", F.lit(k))
         exact = exact & (next_.isNull() | (F.get("words", at - 1 + next_["offset"]) == next_["term"]))
         close = close & (next_.isNull() | F.array_contains(around, next_["term"]))
     exact = F.coalesce(exact & (F.slice("words", F.greatest(at, F.lit(1)), F.col("len")) == F.col("phrase")), F.lit(False))
-    holds = lambda s: F.forall("phrase", lambda w: F.size(F.filter(F.slice("words", s + 1, span), lambda x: x == w)) >= F.size(F.filter("phrase", lambda x: x == w)))
+    holds = lambda s: F.forall("phrase", lambda w: F.size(F.filter(F.slice("words", s + 1, wide), lambda x: x == w)) >= F.size(F.filter("phrase", lambda x: x == w)))
     close = close & (F.size(F.array_except("phrase", around)) == 0) & F.exists(F.sequence(first, last), holds)
     own = index.select("row", "words", F.posexplode("words").alias("pos", "term"))
     out = None
     for block in _blocks(windows):
         side = block.select("wid", "phrase", "len", "probes", F.col("probes")[0]["offset"].alias("offset"), F.col("probes")[0]["term"].alias("rarest"))
-        got = own.join(F.broadcast(side), (F.col("term") == F.col("rarest")) & (exact | close)).select("row", "wid", (F.col("pos") - F.col("offset")).alias("start"), "len", exact.alias("exact"))
+        got = own.join(F.broadcast(side), (F.col("term") == F.col("rarest")) & (exact if span is None else exact | close)).select("row", "wid", (F.col("pos") - F.col("offset")).alias("start"), "len", (F.lit(True) if span is None else exact).alias("exact"))
         out = got if out is None else out.union(got)
     return out
 
 
-def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, span: int = SPAN) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (items with a proximity match), text_hash of every row."""
+def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, span: int | None = None) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, text_hash of every row.
+
+    n_near counts items with a match within ``span`` words, exact or not; without a span, exact ones."""
     index = indexed(docs)
     owned = written(windows_of(items, window), "windows")
     windows = written(ranked_windows(index, owned), "ranked-windows")

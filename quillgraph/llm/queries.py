@@ -21,7 +21,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near", "text_hash")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,12 +75,9 @@ lens AS (SELECT DISTINCT n FROM ph),
 spots AS (SELECT r, s, n, array_to_string(w[s : s + n - 1], ' ') AS k FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, lens WHERE len(w) >= n)),
 hits AS (SELECT r, s, spots.n, spots.k FROM spots JOIN ph ON spots.k = ph.k),
 n_hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM hits) GROUP BY r),
-ids AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM hits JOIN win ON hits.k = array_to_string(win.ph, ' ')) GROUP BY r),
-cand AS (SELECT r, w, item_id, ph FROM d JOIN win ON list_has_all(d.w, win.ph)),
-near AS (SELECT r, count(DISTINCT item_id) AS n_near FROM (SELECT r, w, item_id, ph, unnest(range(1, len(w) + 1)) AS s FROM cand)
-  WHERE list_contains(ph, w[s]) AND list_has_all(w[s : s + 14], ph) AND len(list_filter(ph, lambda x: len(list_filter(w[s : s + 14], lambda y: y = x)) < len(list_filter(ph, lambda y: y = x)))) = 0 GROUP BY r)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
-FROM d LEFT JOIN n_hit ON d.r = n_hit.r LEFT JOIN ids ON d.r = ids.r LEFT JOIN near ON d.r = near.r""",
+ids AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM hits JOIN win ON hits.k = array_to_string(win.ph, ' ')) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n_hit ON d.r = n_hit.r LEFT JOIN ids ON d.r = ids.r""",
     "op7_suffix_dedup": """
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(coalesce(text, ''))) AS no, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT no, p, substr(h, 2 * p + 1, 200) AS s FROM (SELECT no, h, unnest(range(0, len(h) // 2 - 99)) AS p FROM d WHERE len(h) >= 200)),

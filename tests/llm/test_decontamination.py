@@ -25,7 +25,7 @@ def tables(spark):
 def test_exact_and_near(tables, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK", block)
     rows, items, docs, bench = tables
-    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated, r.n_near) for r in decontaminate.judge(docs, bench).collect()), key=repr)
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated, r.n_near) for r in decontaminate.judge(docs, bench, span=decontaminate.SPAN).collect()), key=repr)
     exact = brute.contamination([t for _, t in rows], items)
     want = []
     for (i, t), e in zip(rows, exact, strict=True):
@@ -48,6 +48,6 @@ def test_matches(tables):
 def test_empty_tables(spark, tables):
     _, _, docs, bench = tables
     assert decontaminate.judge(docs.where("false"), bench).count() == 0
-    clean = decontaminate.judge(docs, bench.where("false"))
+    clean = decontaminate.judge(docs, bench.where("false"), span=decontaminate.SPAN)
     assert clean.count() == docs.count() and clean.where("contaminated or n_hit > 0 or n_near > 0").count() == 0
     assert decontaminate.matches(docs, bench.where("false")).count() == 0
