@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A side of at most this many short rows (a key and a few numbers) may be broadcast.
 BROADCAST_ROWS = 1_000_000
+#: A key of over a HOT-th of all rows is hot; so there are fewer than HOT hot keys.
+HOT = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,6 +62,15 @@ def with_bounded_side(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
 
 
+def hot_join(rows: DataFrame, side: DataFrame, on: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) to ``side``, a written table with one row a key whose ``weight`` is the number of rows that have it, of ``total``.
+
+    Keys of over a ``HOT``-th of the rows, fewer than ``HOT`` of them, are broadcast, so no task gets such a key's rows; the rest is shuffled."""
+    hot = F.broadcast(side.where(F.col(weight) * HOT > total))
+    keys = F.broadcast(side.where(F.col(weight) * HOT > total).select(*on))
+    return rows.join(hot, on).unionByName(rows.join(keys, on, "left_anti").join(side.where(F.col(weight) * HOT <= total), on, how))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe, decontaminate, html, neardup, quality, sharding, suffixes, tokens, toxicity, urlfilter
+from quillgraph.llm import bpe, decontaminate, divergence, exactdedup, html, neardup, quality, sharding, suffixes, tokens, toxicity, trie, urlfilter
 
 #: host, path, verdict of the URL filter's list.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -58,11 +58,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), trusted)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_decontamination, op3_html_extraction, op4_token_ids, op5_toxicity, op6_sharding, op7_suffix_dedup, op8_near_duplicates, op9_url_filters, op10_quality_rules)}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_decontamination, op3_html_extraction, op4_token_ids, op5_toxicity, op6_sharding, op7_suffix_dedup, op8_near_duplicates, op9_url_filters, op10_quality_rules, op11_exact_dedup, op12_prefix_trie, op13_source_divergence)}
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 _WORD = r"[^\x{0}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+"
+_TERM = r"[^\x{0}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -94,4 +107,39 @@ parts AS (SELECT page_id, r, translate(regexp_extract(u, '^[^/?#]*'), 'ABCDEFGHI
 hits AS (SELECT page_id, r, host, path, h || p AS rule, v, row_number() OVER (PARTITION BY r ORDER BY length(h || p) DESC NULLS LAST, h || p DESC) AS n
          FROM parts LEFT JOIN listed ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM hits WHERE n = 1""",
+    "op11_exact_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents),
+k AS (SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS k, count(*) OVER (PARTITION BY h) AS group_size FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id NULLS LAST, r))
+SELECT doc_id, keep_id, group_size, k = 1 AS kept, h AS text_sha256 FROM k""",
+    "op12_prefix_trie": """
+WITH RECURSIVE t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT c, CAST(c AS VARCHAR) AS s FROM t),
+crc(c, s, i, v) AS (SELECT c, s, 0, 4294967295::BIGINT FROM ids UNION ALL
+  SELECT c, s, i + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END FROM (SELECT c, s, i, CASE WHEN i % 8 = 0 THEN xor(v, ord(substr(s, i // 8 + 1, 1))::BIGINT) ELSE v END AS x FROM crc WHERE i < 8 * length(s))),
+h AS (SELECT c, xor(v, 4294967295::BIGINT) % 9 AS h, c - c % 5 AS b FROM crc WHERE i = 8 * length(s)),
+made AS (SELECT h.c, pos, 0 AS own, role, text FROM h JOIN t ON t.c = h.b AND t.pos <= h.h UNION ALL SELECT h.c, pos, 1, role, text FROM h JOIN t ON t.c = h.c AND t.pos > h.h),
+rows_ AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, pos) AS d, role, text FROM made),
+seqs AS (SELECT c, array_agg({'r': role, 't': text} ORDER BY d) AS turns FROM rows_ GROUP BY c),
+pre AS (SELECT c, 0::BIGINT AS d, md5('') AS k, NULL::VARCHAR AS pk, 0 AS bytes FROM ids UNION ALL SELECT rows_.c, d, md5(CAST(d AS VARCHAR) || CAST(turns[1 : d] AS JSON)::VARCHAR), CASE WHEN d = 1 THEN md5('') ELSE md5(CAST(d - 1 AS VARCHAR) || CAST(turns[1 : d - 1] AS JSON)::VARCHAR) END, strlen(text) FROM rows_ JOIN seqs ON rows_.c = seqs.c),
+lens AS (SELECT c, max(d) AS n FROM pre GROUP BY c),
+node AS (SELECT k, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(pk) AS pk, (count(*) - 1) * any_value(bytes) AS saved FROM pre GROUP BY k),
+kids AS (SELECT pk, count(*) AS n FROM node WHERE pk IS NOT NULL GROUP BY pk),
+sums AS (SELECT pre.k, sum(saved) AS saved, count(*) FILTER (WHERE kids.n IS NULL) AS leaves FROM node JOIN pre ON pre.c = node.conv_id AND pre.d <= node.depth LEFT JOIN kids ON node.k = kids.pk GROUP BY pre.k),
+ends AS (SELECT pre.k, string_agg(CAST(pre.c AS VARCHAR), ',' ORDER BY pre.c) AS names FROM pre JOIN lens ON pre.c = lens.c AND pre.d = lens.n GROUP BY pre.k)
+SELECT node.conv_id, node.depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n, 0) AS n_children, sums.leaves AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, sha256(coalesce(names, '')) AS ends_sha256
+FROM node LEFT JOIN node up ON node.pk = up.k LEFT JOIN kids ON node.k = kids.pk JOIN sums ON node.k = sums.k LEFT JOIN ends ON node.k = ends.k""",
+    "op13_source_divergence": f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '{_TERM}') AS w FROM documents),
+occ AS (SELECT r, lang, source, unnest(w) AS t FROM d),
+kept AS (SELECT lang, t, count(*) AS n FROM occ GROUP BY 1, 2 HAVING count(DISTINCT r) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+cnt AS (SELECT occ.lang, source, occ.t, count(*) AS n FROM occ JOIN kept ON occ.lang = kept.lang AND occ.t = kept.t GROUP BY 1, 2, 3),
+tot AS (SELECT lang, source, sum(n) AS n FROM cnt GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, kept.t, coalesce(cnt.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(cnt.n, 0) + 2)) // (coalesce(tot.n, 0) + 2 * v) AS p, 1 + (1000000000::HUGEINT * (kept.n + 2)) // (langs.n + 2 * v) AS q
+  FROM g JOIN kept ON g.lang = kept.lang JOIN langs ON g.lang = langs.lang LEFT JOIN cnt ON cnt.lang = g.lang AND cnt.source = g.source AND cnt.t = kept.t LEFT JOIN tot ON tot.lang = g.lang AND tot.source = g.source),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY 1, 2, 3),
+parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', t, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts) WHERE part = 'pair' OR rank <= 10""",
 }
