@@ -49,25 +49,22 @@ def partial_counts(docs: DataFrame, bits: int = BITS) -> DataFrame:
     without terms comes with a null term."""
 
     def rows(held: dict) -> dict:
-        langs, sources, terms, digests, ns, ds = [], [], [], [], [], []
-        for (lang, source), (n, seen) in held.items():
-            for term, count in n.items() or [(None, 0)]:
-                langs.append(lang)
-                sources.append(source)
-                terms.append(None if term is None else term.decode())
-                digests.append(None if term is None else int(np.uint64(xxhash.xxh64_intdigest(term) >> (64 - bits)).astype(np.int64)))
-                ns.append(count)
-                ds.append(seen[term] if count else 0)
-        return {"lang": langs, "source": sources, "term": terms, "digest": digests, "n": ns, "docs": ds}
+        sizes = [max(1, len(n)) for n, _ in held.values()]
+        names = [pa.array([key[i] for key in held], pa.string()).take(np.repeat(np.arange(len(held)), sizes)) for i in (0, 1)]
+        terms = [t for n, _ in held.values() for t in n or [None]]
+        digests = np.fromiter((0 if t is None else xxhash.xxh64_intdigest(t) for t in terms), np.uint64, len(terms))
+        ns = [c for n, _ in held.values() for c in n.values() or [0]]
+        ds = [seen.get(t, 0) for n, seen in held.values() for t in n or [None]]
+        return {"lang": names[0], "source": names[1], "term": pa.array(terms, pa.binary()).cast(pa.string()), "digest": (digests >> np.uint64(64 - bits)).view(np.int64), "n": ns, "docs": ds}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: dict = {}
         for batch in batches:
             for text, lang, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n, seen = held.setdefault((lang, source), (Counter(), Counter()))
-                found = Counter(TERM.findall(text.encode().lower()))
+                found = TERM.findall(text.encode().lower())
                 n.update(found)
-                seen.update(found.keys())
+                seen.update(set(found))
             if sum(len(n) for n, _ in held.values()) > HELD:
                 yield rows(held)
                 held = {}
@@ -130,7 +127,8 @@ def kept_terms(partial: DataFrame, groups: DataFrame, least_docs: int = LEAST_DO
     found = materialised(by_term(counts, "digest"), "vectors")
     some = found.select("lang_no", "digest")
     texts = rows.select("lang_no", "digest", "place", "n", "docs", "term").join(with_bounded_side(some), ["lang_no", "digest"], "left_semi")
-    names = materialised(texts.groupBy("lang_no", "digest").agg(F.min("term").alias("lo"), F.max("term").alias("hi")), "names")
+    named = texts.select("lang_no", "digest", "term").distinct()  # hashed, where least and greatest strings need a sort
+    names = materialised(named.groupBy("lang_no", "digest").agg(F.min("term").alias("lo"), F.max("term").alias("hi")), "names")
     clashes = with_bounded_side(names.where("lo <> hi").select("lang_no", "digest"))
     parts = texts.join(clashes, ["lang_no", "digest"], "left_semi").groupBy("lang_no", "digest", "term", "place").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     split = by_term(parts, "digest", "term").select("lang_no", "digest", F.col("term").alias("part"), "vec")
