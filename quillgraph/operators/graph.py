@@ -23,7 +23,9 @@ def graph_from_edges(df: DataFrame, src: str, dst: str, w: str | None = None) ->
 
 
 def both_directions(half: DataFrame) -> DataFrame:
-    return half.select("src", "dst", "w").unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    """Each row of half(src, dst, w) both ways, in one pass over it."""
+    ends = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    return half.select(F.explode(F.array(ends("src", "dst"), ends("dst", "src"))).alias("x"), "w").select("x.src", "x.dst", "w")
 
 
 def transpose(bip: DataFrame) -> DataFrame:

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.functions.tables import uniform
+from quillgraph.functions.tables import least_by, materialised, uniform, with_running
 from quillgraph.operators.graph import vertex_degrees, weight_to_sets
 
+#: Rows of memberships are taken apart into their subsets up to so many clusters.
+MOST_TAKEN_APART = 10
+
 
 def cluster_sizes(z: DataFrame) -> DataFrame:
     return z.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
@@ -95,13 +98,9 @@ def cluster_precision(edges: DataFrame, vertices: DataFrame, z: DataFrame) -> Da
     return got.select("cluster", _ratio(w, w + F.coalesce("weight", zero) - F.coalesce("mean", zero)).alias("precision"))
 
 
-def member_places(z: DataFrame, parts: int = 64) -> DataFrame:
-    """vertex, cluster, place (0, 1, ... in each cluster): ranked in hashed parts of a cluster, so a huge one spreads."""
-    rows = z.select("vertex", "cluster", F.pmod(F.xxhash64("vertex"), F.lit(parts)).alias("part"))
-    counts = rows.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("cluster", "part", (F.sum("n").over(Window.partitionBy("cluster").orderBy("part")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("cluster", "part").orderBy("vertex")) - 1
-    return rows.withColumn("rank", rank).join(before, ["cluster", "part"]).select("vertex", "cluster", (F.col("before") + F.col("rank")).cast("long").alias("place"))
+def member_places(z: DataFrame) -> DataFrame:
+    """vertex, cluster, place (0, 1, ... in each cluster by vertex), numbered in ranges, so a huge cluster spreads."""
+    return with_running(materialised(z.select("vertex", "cluster"), "members"), ["cluster"], ["vertex"]).select("vertex", "cluster", (F.col("place") - 1).alias("place"))
 
 
 def sampled_precision(edges: DataFrame, vertices: DataFrame, z: DataFrame, samples: int, seed: int = 1) -> DataFrame:
@@ -122,19 +121,28 @@ def sampled_precision(edges: DataFrame, vertices: DataFrame, z: DataFrame, sampl
     return rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("predicted"), F.sum(hit.cast("long")).alias("true_positive"), F.sum(F.when(hit, F.col("w")).otherwise(mean)).alias("weight_predicted"), F.sum(F.when(hit, F.col("w")).otherwise(0.0)).alias("weight_true"))
 
 
-def sampled_stats(edges: DataFrame, vertices: DataFrame, z: DataFrame, recall_samples: int = 1_000_000, precision_samples: int = 100_000, vertex_samples: int = 5_000, seed: int = 1) -> DataFrame:
-    """One row: precision, recall, weighted_precision, weighted_recall, orphan_rate from samples of pairs, edges and assigned vertices.
+def drawn_edges(edges: DataFrame, samples: int, seed: int = 1) -> DataFrame:
+    """draw, src, dst, w: directed edges drawn evenly with replacement, which is a vertex by its share of the degrees and a neighbour of it.
+
+    Edges are numbered by (src, dst) in ranges and met by number, so neither edges nor draws are sorted in one task."""
+    numbered = with_running(materialised(edges.select("src", "dst", "w"), "to-number"), [], ["src", "dst"]).withColumn("no", F.col("place") - 1)
+    n = edges.count()
+    draws = edges.sparkSession.range(samples if n else 0).select(F.col("id").alias("draw"), F.floor(uniform("recall", seed, F.col("id")) * n).cast("long").alias("no"))
+    return draws.join(numbered, "no").select("draw", "src", "dst", "w")
 
-    A vertex by its share of the degrees and a neighbour of it are a directed edge drawn evenly; a sample here is the edges (vertices)
-    of the least hashes, all of them where there are fewer."""
-    part = lambda rows, n, tag, *ids: rows.orderBy(uniform(tag, seed, *[F.col(i) for i in ids])).limit(n)
-    own = part(edges, recall_samples, "recall", "src", "dst")
-    hit = own.join(shared_edges(edges, z).select("src", "dst", F.lit(True).alias("hit")), ["src", "dst"], "left").select("w", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+def sampled_stats(edges: DataFrame, vertices: DataFrame, z: DataFrame, recall_samples: int = 1_000_000, precision_samples: int = 100_000, vertex_samples: int = 5_000, seed: int = 1) -> DataFrame:
+    """One row: precision, recall, weighted_precision, weighted_recall, orphan_rate from pairs drawn in clusters, directed edges and
+    vertices, all drawn with replacement; drawn vertices without a cluster don't count."""
+    hit = drawn_edges(edges, recall_samples, seed).join(shared_edges(edges, z).select("src", "dst", F.lit(True).alias("hit")), ["src", "dst"], "left").select("w", F.coalesce("hit", F.lit(False)).alias("hit"))
     recall = hit.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.sum(F.col("hit").cast("long")).alias("h"), F.sum(F.when(F.col("hit"), F.col("w"))).alias("hw"))
-    recall = recall.select(_ratio(F.col("h"), F.col("n")).alias("recall"), _ratio(F.coalesce("hw", F.lit(0.0)), F.col("w")).alias("weighted_recall"))
+    recall = recall.select(_ratio(F.coalesce("h", F.lit(0)), F.col("n")).alias("recall"), _ratio(F.coalesce("hw", F.lit(0.0)), F.col("w")).alias("weighted_recall"))
     sums = sampled_precision(edges, vertices, z, precision_samples, seed).agg(*[F.sum(c).alias(c) for c in ("predicted", "true_positive", "weight_predicted", "weight_true")])
     precision = sums.select(_ratio(F.col("true_positive"), F.col("predicted")).alias("precision"), _ratio(F.col("weight_true"), F.col("weight_predicted")).alias("weighted_precision"))
-    some = part(z.select("vertex").distinct(), vertex_samples, "orphans", "vertex")
+    n = vertices.count()
+    numbered = with_running(materialised(vertices.select("id"), "to-number"), [], ["id"]).select(F.col("id").alias("vertex"), (F.col("place") - 1).alias("no"))
+    some = vertices.sparkSession.range(vertex_samples if n else 0).select(F.floor(uniform("orphans", seed, F.col("id")) * n).cast("long").alias("no")).join(numbered, "no")
+    some = some.join(z.select("vertex").distinct(), "vertex", "left_semi")
     alone = some.join(orphans(edges, z).withColumn("alone", F.lit(1)), "vertex", "left").agg(F.coalesce(F.avg(F.coalesce("alone", F.lit(0))), F.lit(0.0)).alias("orphan_rate"))
     return precision.crossJoin(recall).crossJoin(alone)  # one row each
 
@@ -150,13 +158,27 @@ def orphans(edges: DataFrame, z: DataFrame) -> DataFrame:
     return z.select("vertex").distinct().join(shared_edges(edges, z).select(F.col("src").alias("vertex")), "vertex", "left_anti")
 
 
-def prediction_stats(edges: DataFrame, vertices: DataFrame, z: DataFrame) -> DataFrame:
-    """One row over unordered pairs: actual, predicted, true_positive, true_negative, their precision, recall, f1 and the weighted ones, orphan_rate.
+def subset_members(z: DataFrame) -> DataFrame:
+    """vertex, subset (a text), sign: every non-empty subset of each vertex' clusters, +1 for odd and -1 for even ones."""
+    rows = z.groupBy("vertex").agg(F.array_sort(F.collect_set("cluster")).alias("row"))
+    masks = rows.select("vertex", "row", F.explode(F.sequence(F.lit(1), F.expr("cast(shiftleft(1, size(row)) as int) - 1"))).alias("mask"))
+    own = F.filter("row", lambda c, i: F.call_function("shiftright", F.col("mask"), i).bitwiseAND(1) == 1)
+    return masks.select("vertex", F.array_join(F.transform(own, lambda c: c.cast("string")), " ").alias("subset"), (2 * (F.bit_count("mask") % 2) - 1).alias("sign"))
 
-    A pair is predicted if the two share a cluster, once, however many they share. Pairs are counted, never listed: vertices with the
-    same clusters and degree are one class, and classes that share a cluster are paired. A predicted pair weighs its ends' mean, edge
-    or not. orphan_rate is the share of vertices without an edge."""
-    v = vertex_degrees(edges, vertices)
+
+def _by_subsets(z: DataFrame, v: DataFrame) -> DataFrame:
+    """predicted, weight_predicted: pairs that share a cluster, by inclusion and exclusion: the pairs inside each set of clusters that
+    some vertex has in full, added for one cluster, taken off for two, and so on. No two kinds of vertices are compared."""
+    members = materialised(subset_members(z), "subsets")
+    signs = members.groupBy("subset").agg(F.max("sign").alias("sign"))
+    sums = imputed_pairs(members.select("subset", "vertex"), v, "subset").join(signs, "subset")
+    zero = F.lit(0.0)
+    return sums.agg(F.coalesce(F.sum(F.col("sign") * F.col("pairs")), F.lit(0)).cast("long").alias("predicted"), F.coalesce(F.sum(F.col("sign") * F.col("weight")), zero).alias("weight_predicted"))
+
+
+def _by_kinds(z: DataFrame, v: DataFrame) -> DataFrame:
+    """The same for vertices in any number of clusters: those with the same clusters and degree are one kind, and kinds that share a
+    cluster are paired."""
     rows = z.groupBy("vertex").agg(F.array_sort(F.collect_set("cluster")).alias("row")).join(v.withColumnRenamed("id", "vertex"), "vertex")
     kinds = rows.groupBy("row", "deg").agg(F.count(F.lit(1)).alias("n"), F.sum("wdeg").alias("s")).withColumn("kind", F.concat_ws(",", F.array_join(F.transform("row", lambda c: c.cast("string")), " "), F.col("deg").cast("string")))
     n, s, deg = F.col("n").cast("double"), F.col("s"), F.col("deg")
@@ -166,12 +188,57 @@ def prediction_stats(edges: DataFrame, vertices: DataFrame, z: DataFrame) -> Dat
     met = a.join(b, "cluster").where("kind < kind2").drop("cluster").distinct()
     cross = met.select((n * F.col("n2")).alias("pairs"), _ratio(s * F.col("n2") + F.col("s2") * n, deg + F.col("deg2")).alias("weight"))
     zero = F.lit(0.0)
-    predicted = own.unionByName(cross).agg(F.coalesce(F.sum("pairs"), zero).cast("long").alias("predicted"), F.coalesce(F.sum("weight"), zero).alias("weight_predicted"))
-    actual = edges.agg((F.count(F.lit(1)) / 2).cast("long").alias("actual"), (F.coalesce(F.sum("w"), zero) / 2).alias("weight_actual"))
-    hit = shared_edges(edges, z).agg((F.count(F.lit(1)) / 2).cast("long").alias("true_positive"), (F.coalesce(F.sum("w"), zero) / 2).alias("weight_true"))
-    alone = v.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg((deg == 0).cast("double")), zero).alias("orphan_rate"))
-    got = actual.crossJoin(predicted).crossJoin(hit).crossJoin(alone)  # one row each
+    return own.unionByName(cross).agg(F.coalesce(F.sum("pairs"), zero).cast("long").alias("predicted"), F.coalesce(F.sum("weight"), zero).alias("weight_predicted"))
+
+
+def _most_memberships(z: DataFrame) -> int:
+    return z.groupBy("vertex").agg(F.count_distinct("cluster").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+
+def _measures(got: DataFrame, pairs) -> DataFrame:
     p, r = _ratio(F.col("true_positive"), F.col("predicted")), _ratio(F.col("true_positive"), F.col("actual"))
     wp, wr = _ratio(F.col("weight_true"), F.col("weight_predicted")), _ratio(F.col("weight_true"), F.col("weight_actual"))
-    absent = (F.col("n") * (F.col("n") - 1) / 2).cast("long") - F.col("actual") - F.col("predicted") + F.col("true_positive")
+    absent = pairs - F.col("actual") - F.col("predicted") + F.col("true_positive")
     return got.select("actual", "predicted", "true_positive", absent.alias("true_negative"), p.alias("precision"), r.alias("recall"), _ratio(2 * p * r, p + r).alias("f1"), wp.alias("weighted_precision"), wr.alias("weighted_recall"), _ratio(2 * wp * wr, wp + wr).alias("weighted_f1"), "orphan_rate")
+
+
+def prediction_stats(edges: DataFrame, vertices: DataFrame, z: DataFrame) -> DataFrame:
+    """One row over unordered pairs: actual, predicted, true_positive, true_negative, their precision, recall, f1 and the weighted ones, orphan_rate.
+
+    A pair is predicted if the two share a cluster, once, however many they share. Pairs are counted, never listed: by inclusion and
+    exclusion where no vertex has over ``MOST_TAKEN_APART`` clusters, else by kinds of vertices. A predicted pair weighs its ends'
+    mean, edge or not. orphan_rate is the share of vertices without an edge."""
+    v = vertex_degrees(edges, vertices)
+    predicted = (_by_subsets if _most_memberships(z) <= MOST_TAKEN_APART else _by_kinds)(z, v)
+    zero = F.lit(0.0)
+    actual = edges.agg((F.count(F.lit(1)) / 2).cast("long").alias("actual"), (F.coalesce(F.sum("w"), zero) / 2).alias("weight_actual"))
+    hit = shared_edges(edges, z).agg((F.count(F.lit(1)) / 2).cast("long").alias("true_positive"), (F.coalesce(F.sum("w"), zero) / 2).alias("weight_true"))
+    alone = v.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg((F.col("deg") == 0).cast("double")), zero).alias("orphan_rate"))
+    got = actual.crossJoin(predicted).crossJoin(hit).crossJoin(alone)  # one row each
+    return _measures(got, (F.col("n") * (F.col("n") - 1) / 2).cast("long"))
+
+
+def vertex_sampled_stats(edges: DataFrame, vertices: DataFrame, z: DataFrame, ratio: float, seed: int = 1) -> DataFrame:
+    """``prediction_stats`` over the ordered pairs whose first vertex is in a sample of floor(ratio * vertices), exact for those; with all
+    vertices the counts are twice those of unordered pairs and the ratios are the same.
+
+    A sampled vertex' partners are counted by inclusion and exclusion over the subsets of its clusters, from sums over each subset's
+    members by degree; members are not listed for each sampled vertex. A vertex may have ``MOST_TAKEN_APART`` clusters at most."""
+    if _most_memberships(z) > MOST_TAKEN_APART:
+        raise ValueError(f"a vertex is in over {MOST_TAKEN_APART} clusters; use prediction_stats")
+    v = vertex_degrees(edges, vertices)
+    n = vertices.count()
+    some = materialised(v.join(least_by(vertices, int(n * ratio), uniform("evaluated", seed, F.col("id"))), "id"), "evaluated").withColumnRenamed("id", "vertex")
+    members = materialised(subset_members(z), "subsets")
+    held = members.join(v.withColumnRenamed("id", "vertex"), "vertex").groupBy("subset", F.col("deg").alias("deg2")).agg(F.count(F.lit(1)).alias("n2"), F.sum("wdeg").alias("s2"))
+    mine = members.join(some, "vertex").groupBy("subset", "sign", "deg").agg(F.count(F.lit(1)).alias("n"), F.sum("wdeg").alias("s"))
+    # all members of a subset, less the vertex itself
+    met = mine.join(held, "subset").select("sign", (F.col("n") * F.col("n2")).alias("pairs"), _ratio(F.col("s") * F.col("n2") + F.col("s2") * F.col("n"), F.col("deg") + F.col("deg2")).alias("weight"))
+    self_ = mine.select("sign", (-F.col("n")).alias("pairs"), (-_ratio(F.col("s"), F.col("deg"))).alias("weight"))
+    zero = F.lit(0.0)
+    predicted = met.unionByName(self_).agg(F.coalesce(F.sum(F.col("sign") * F.col("pairs")), F.lit(0)).cast("long").alias("predicted"), F.coalesce(F.sum(F.col("sign") * F.col("weight")), zero).alias("weight_predicted"))
+    ids = some.select(F.col("vertex").alias("src"))
+    actual = edges.join(ids, "src", "left_semi").agg(F.count(F.lit(1)).alias("actual"), F.coalesce(F.sum("w"), zero).alias("weight_actual"))
+    hit = shared_edges(edges.join(ids, "src", "left_semi"), z).agg(F.count(F.lit(1)).alias("true_positive"), F.coalesce(F.sum("w"), zero).alias("weight_true"))
+    alone = some.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg((F.col("deg") == 0).cast("double")), zero).alias("orphan_rate"))
+    return _measures(actual.crossJoin(predicted).crossJoin(hit).crossJoin(alone), F.col("n") * F.lit(max(n - 1, 0)))  # one row each

@@ -11,15 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.functions.tables import discarded, materialised, uniform
+from quillgraph.functions.tables import discarded, least_by, materialised, uniform
 from quillgraph.operators.components import divided_clusters
 from quillgraph.operators.graph import best_prefixes, neighborhood_conductance, neighbors_sorted, project_right, right_vertices, square_weights, top_k_edges, vertex_degrees, weight_to_sets
 from quillgraph.operators.embeddings import left_embeddings, log_transformed, normalized, norms, right_embeddings
-from quillgraph.operators.membership import affiliations, cluster_sizes, matrix_stats, prediction_stats, remove_small_clusters, sampled_stats
+from quillgraph.operators.membership import affiliations, cluster_sizes, matrix_stats, prediction_stats, remove_small_clusters, sampled_stats, vertex_sampled_stats
 
 
 STRATEGIES = ("single", "multiple", "neighbors", "neighbors_and_cluster", "random")
-STARTS = ("random_neighborhood", "best_neighborhood", "seeds", "random")
+STARTS = ("random_neighborhood", "best_neighborhood", "seeds", "uncovered", "random")
 
 
 @dataclass(frozen=True)
@@ -30,6 +30,7 @@ class Settings:
     weight: float = 5.0
     scale: float = 0.5
     batches: int = 4
+    colours: bool = False  # batches are the classes of a colouring instead, so that no two neighbours move on one snapshot
     seed: int = 1
     temperature: float | None = None  # of the first epoch; None: the fixed scale
     cooling: float = 0.95
@@ -38,9 +39,10 @@ class Settings:
     least_size: int = 2
     strategy: str = "single"  # or multiple, neighbors, neighbors_and_cluster, random
     most_memberships: int = 5
-    start: str = "random_neighborhood"  # or best_neighborhood, seeds, random
+    start: str = "random_neighborhood"  # or best_neighborhood, seeds, uncovered, random
     all_epochs: bool = False
     metrics_every: int = 1
+    evaluated: float = 1.0  # share of the vertices that the metrics of a small graph are of
 
     def __post_init__(self):
         if self.strategy not in STRATEGIES:
@@ -49,6 +51,8 @@ class Settings:
             raise ValueError(f"start must be one of {', '.join(STARTS)}")
         if self.clusters < 1 or self.batches < 1 or self.most_memberships < 1 or self.metrics_every < 1:
             raise ValueError("clusters, batches, most_memberships and metrics_every must be at least 1")
+        if not 0 < self.evaluated <= 1:
+            raise ValueError("the evaluated share must be over 0 and at most 1")
 
     def multiplier(self, epoch: int) -> float:
         return self.scale if self.temperature is None else 1.0 / (self.cooling**epoch * self.temperature)
@@ -68,14 +72,18 @@ def candidate_likelihoods(edges: DataFrame, v: DataFrame, z: DataFrame, weight:
     return rows.select("vertex", "cluster", log_likelihood(F.col("n_vertices"), weight, F.col("n"), F.col("w"), F.col("size"), F.col("deg"), F.col("wdeg")).alias("ll"))
 
 
+def _dealt(v: DataFrame, settings: Settings, epoch: int, batch: int) -> DataFrame:
+    """The vertices of a batch: a colour class where ``v`` has colours, else those that the epoch's hash deals to it."""
+    return v.where(F.col("colour") == batch) if "colour" in v.columns else v.where(F.floor(uniform("deal", settings.seed, epoch, F.col("id")) * settings.batches) == batch)
+
+
 def propose(edges: DataFrame, v: DataFrame, z: DataFrame, settings: Settings, epoch: int = 0, batch: int | None = None) -> DataFrame:
     """vertex, current, proposal (-1: none), accepted, for the vertices of a batch, or all. z gives each vertex one cluster at most.
 
     The proposal is the largest likelihood plus Gumbel noise; the current cluster is never proposed again."""
     seed = settings.seed
     if batch is not None:
-        mine = F.floor(uniform("deal", seed, epoch, F.col("id")) * settings.batches) == batch
-        ids = v.where(mine).select(F.col("id").alias("src"))
+        ids = _dealt(v, settings, epoch, batch).select(F.col("id").alias("src"))
         own = edges.join(ids, "src", "left_semi")
     else:
         ids, own = v.select(F.col("id").alias("src")), edges
@@ -180,7 +188,7 @@ def set_steps(edges: DataFrame, v: DataFrame, z: DataFrame, settings: Settings,
     """vertex, current, proposal (arrays of clusters), accepted, for vertices in any number of clusters."""
     mine = v.where("deg > 0")
     if batch is not None:
-        mine = mine.where(F.floor(uniform("deal", settings.seed, epoch, F.col("id")) * settings.batches) == batch)
+        mine = _dealt(mine, settings, epoch, batch)
     own = edges.join(mine.select(F.col("id").alias("src")), "src", "left_semi")
     empty = F.array().cast("array<bigint>")
     proposed = set_proposals(own, v, z, settings, epoch).join(mine.select(F.col("id").alias("vertex")), "vertex", "left_semi")
@@ -206,12 +214,13 @@ def applied(z: DataFrame, steps: DataFrame) -> DataFrame:
     return stay.unionByName(moved.where("proposal >= 0").select("vertex", F.col("proposal").alias("cluster")))
 
 
-def epoch_metrics(edges: DataFrame, vertices: DataFrame, z: DataFrame, clusters: int, epoch: int, moved: int, exact_edges: int = 5_000) -> DataFrame:
-    """One row for an epoch: what moved, the memberships' statistics, and how well they predict edges: exactly, or by samples in a graph of ``exact_edges`` or more."""
+def epoch_metrics(edges: DataFrame, vertices: DataFrame, z: DataFrame, clusters: int, epoch: int, moved: int, exact_edges: int = 5_000, evaluated: float = 1.0) -> DataFrame:
+    """One row for an epoch: what moved, the memberships' statistics, and how well they predict edges: exactly (for the ``evaluated`` share
+    of the vertices, if below 1), or by samples of pairs in a graph of ``exact_edges`` or more."""
     wanted = ["precision", "recall", "weighted_precision", "weighted_recall", "orphan_rate"]
     small = edges.limit(2 * exact_edges).count() < 2 * exact_edges
-    found = (prediction_stats(edges, vertices, z) if small else sampled_stats(edges, vertices, z)).select(*wanted)
-    return found.crossJoin(matrix_stats(z, vertices, clusters)).select(F.lit(epoch).alias("epoch"), F.lit(moved).alias("moved"), *wanted, "nnz_per_row", "empty_row_share", "empty_col_share", "min_size", "max_size")  # one row each
+    found = (prediction_stats(edges, vertices, z) if evaluated >= 1 else vertex_sampled_stats(edges, vertices, z, evaluated)) if small else sampled_stats(edges, vertices, z)
+    return found.select(*wanted).crossJoin(matrix_stats(z, vertices, clusters)).select(F.lit(epoch).alias("epoch"), F.lit(moved).alias("moved"), *wanted, "nnz_per_row", "empty_row_share", "empty_col_share", "min_size", "max_size")  # one row each
 
 
 def metric_lines(rows: list) -> list[str]:
@@ -223,35 +232,41 @@ def metric_lines(rows: list) -> list[str]:
 
 
 def fit(edges: DataFrame, vertices: DataFrame, settings: Settings, start: DataFrame | None = None, history: list | None = None) -> DataFrame:
-    """Memberships after epochs of batches until few vertices move, then divided into components and rid of small clusters.
+    """Memberships after epochs of batches until few vertices move, then divided into components and rid of clusters below ``least_size``.
 
+    They start from ``start``, or by ``settings.start``. With ``settings.colours`` the batches are the classes of ``colours``, all in turn.
     ``history`` gets a row of ``epoch_metrics`` for every ``settings.metrics_every`` epochs. A batch writes its steps and the
     memberships; tables that nothing reads any more are deleted."""
     edges, v = materialised(edges, "graph"), materialised(vertex_degrees(edges, vertices), "degrees")
     n = v.count()
-    z = materialised(start if start is not None else random_memberships(vertices, settings.clusters, settings.seed), "memberships")
+    batches = settings.batches
+    if settings.colours:
+        v = materialised(v.join(colours(edges, vertices, settings.seed), "id"), "coloured")
+        batches = (v.agg(F.max("colour")).first()[0] or 0) + 1
+    z = materialised(start if start is not None else start_from(edges, vertices, settings), "memberships")
     step = propose if settings.strategy == "single" else set_steps
     for epoch in range(settings.max_epochs):
         done = []
-        for batch in range(settings.batches):
+        for batch in range(batches):
             done.append(materialised(step(edges, v, z, settings, epoch, batch), "steps"))
             old, z = z, materialised(applied(z, done[-1]), "memberships")
             discarded(old)
         moves = reduce(DataFrame.unionByName, [d.select("accepted") for d in done]).where("accepted").count()
         discarded(*done)
         if history is not None and epoch % settings.metrics_every == 0:
-            history.append(epoch_metrics(edges, vertices, z, settings.clusters, epoch, moves).first())
+            history.append(epoch_metrics(edges, vertices, z, settings.clusters, epoch, moves, evaluated=settings.evaluated).first())
         if moves < settings.least_moves * max(n, 1) and not settings.all_epochs:
             break
     if settings.divide:
         old, z = z, materialised(divided_clusters(edges, z, settings.remove_weak_links), "memberships")
         discarded(old)
-    return remove_small_clusters(z, settings.least_size) if settings.least_size > 2 else z
+    least = settings.least_size
+    return remove_small_clusters(z, least) if least > (2 if settings.divide else 1) else z  # components have two members at least
 
 
 def k_sample(ids: DataFrame, k: int, seed: int = 1, tag: str = "sample") -> DataFrame:
     """k of ids(id), the same for the same seed."""
-    return ids.select("id").orderBy(uniform(tag, seed, F.col("id")), "id").limit(k)
+    return least_by(ids, k, uniform(tag, seed, F.col("id")))
 
 
 def seeded_subneighborhoods(edges: DataFrame, vertices: DataFrame, k: int, seed: int = 1) -> DataFrame:
@@ -262,6 +277,71 @@ def seeded_subneighborhoods(edges: DataFrame, vertices: DataFrame, k: int, seed:
     return lists.join(best, "seed").where("rank <= n").select(F.col("id").alias("vertex"), F.col("seed").alias("cluster"))
 
 
+def uncovered_subneighborhoods(edges: DataFrame, vertices: DataFrame, k: int, seed: int = 1) -> DataFrame:
+    """vertex, cluster (its seed): sub-neighbourhoods that don't overlap. Vertices come in a random order; one that nothing covers yet takes
+    the best prefix of its uncovered neighbours by falling weight, which are covered then; the first k that take one count.
+
+    A seed's choice depends on vertices within two steps only, so in a round all open vertices choose that come before every other
+    open one within two steps; the result is that of one after another. Chosen and covered vertices are no longer open."""
+    lists = materialised(neighbors_sorted(edges), "lists")
+    open_ = materialised(vertices.select("id", F.struct(uniform("uncovered", seed, F.col("id")).alias("u"), F.col("id").alias("tie")).alias("p")), "open")
+    free, taken = materialised(vertices.select("id"), "free"), []  # free: not covered, whether they have had their turn or not
+    while not open_.isEmpty():
+        near = lambda best: best.unionByName(lists.select(F.col("src").alias("id"), "dst").join(best.withColumnRenamed("id", "dst"), "dst").select("id", "p")).groupBy("id").agg(F.min("p").alias("p"))
+        turn = materialised(open_.join(near(near(open_)).withColumnRenamed("p", "least"), "id").where("p = least").select("id", "p"), "turn")
+        left = lists.join(turn.select(F.col("id").alias("src")), "src", "left_semi").join(free.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        mine = materialised(left.select(F.col("src").alias("seed"), F.col("dst").alias("id"), F.row_number().over(Window.partitionBy("src").orderBy("rank")).cast("long").alias("rank")), "uncovered")
+        best = best_prefixes(mine, edges, vertices)
+        took = mine.join(best, "seed").where("rank <= n").select(F.col("id").alias("vertex"), F.col("seed").alias("cluster"))
+        taken.append(materialised(took.join(turn.withColumnRenamed("id", "cluster"), "cluster"), "taken"))
+        covered = taken[-1].select(F.col("vertex").alias("id"))
+        now_free = materialised(free.join(covered, "id", "left_anti"), "free")
+        now_open = materialised(open_.join(turn.select("id"), "id", "left_anti").join(covered, "id", "left_anti"), "open")
+        discarded(open_, free, mine, turn)
+        open_, free = now_open, now_free
+        seeds = reduce(DataFrame.unionByName, taken).select("cluster", "p").distinct()
+        first = open_.agg(F.min("p").alias("first"))  # no open vertex comes before these seeds any more
+        if seeds.crossJoin(F.broadcast(first)).where("first is null or p < first").limit(k).count() == k:  # one row
+            break
+    discarded(open_, free)
+    every = reduce(DataFrame.unionByName, taken) if taken else None
+    if every is None:
+        return vertices.select(F.col("id").alias("vertex"), F.col("id").alias("cluster"))
+    keys = every.select("cluster", F.col("p.u").alias("u")).distinct()
+    counted = least_by(keys.select(F.col("cluster").alias("id")), k, uniform("uncovered", seed, F.col("id")))
+    return every.join(counted.withColumnRenamed("id", "cluster"), "cluster", "left_semi").select("vertex", "cluster")
+
+
+def colours(edges: DataFrame, vertices: DataFrame, seed: int = 1) -> DataFrame:
+    """id, colour (0, 1, ...): no edge has two ends of one colour. Vertices come in a random order, each takes the least colour that no
+    earlier neighbour has; in a round all choose whose earlier neighbours have chosen, so the result is that of one after another."""
+    order = materialised(vertices.select("id", F.struct(uniform("colour", seed, F.col("id")).alias("u"), F.col("id").alias("tie")).alias("p")), "order")
+    arcs = edges.select("src", "dst").join(order.select(F.col("id").alias("src"), F.col("p").alias("ps")), "src").join(order.select(F.col("id").alias("dst"), F.col("p").alias("pd")), "dst").where("pd < ps")
+    waits = materialised(arcs.select(F.col("src").alias("id"), "dst"), "waits")  # id waits for dst
+    open_ = materialised(order.select("id"), "open")
+    done: list[DataFrame] = []
+    used = None  # id, colour: colours of each open vertex' earlier neighbours
+    while not open_.isEmpty():
+        blocked = waits.join(open_.withColumnRenamed("id", "dst"), "dst", "left_semi").select("id").distinct()
+        ready = open_.join(blocked, "id", "left_anti")
+        if used is None:
+            chosen = ready.select("id", F.lit(0).cast("long").alias("colour"))
+        else:  # the first place where the sorted colours leave a gap
+            ranked = used.join(ready, "id", "left_semi").withColumn("at", (F.row_number().over(Window.partitionBy("id").orderBy("colour")) - 1).cast("long"))
+            gap = ranked.groupBy("id").agg(F.coalesce(F.min(F.when(F.col("colour") != F.col("at"), F.col("at"))), F.count(F.lit(1))).alias("colour"))
+            chosen = ready.join(gap, "id", "left").select("id", F.coalesce("colour", F.lit(0)).cast("long").alias("colour"))
+        done.append(materialised(chosen, "chosen"))
+        rest = materialised(open_.join(done[-1].select("id"), "id", "left_anti"), "open")
+        told = waits.join(done[-1].withColumnRenamed("id", "dst"), "dst").select("id", "colour")
+        kept = told if used is None else told.unionByName(used)
+        kept = materialised(kept.join(rest, "id", "left_semi").distinct(), "used")
+        if used is not None:
+            discarded(used)
+        discarded(open_)
+        open_, used = rest, kept
+    return reduce(DataFrame.unionByName, done) if done else vertices.select("id", F.lit(0).cast("long").alias("colour"))
+
+
 def padded(z: DataFrame, vertices: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """z with clusters of one random vertex each until there are k clusters; their ids follow the largest."""
     have = z.agg(F.count_distinct("cluster").alias("n"), F.coalesce(F.max("cluster"), F.lit(-1)).alias("top")).first()
@@ -273,12 +353,14 @@ def padded(z: DataFrame, vertices: DataFrame, k: int, seed: int = 1) -> DataFram
 
 def start_from(edges: DataFrame, vertices: DataFrame, settings: Settings) -> DataFrame:
     """Starting memberships by ``settings.start``: neighborhoods of random cost, of least conductance, best sub-neighborhoods of random
-    seeds, or a random cluster for each vertex."""
+    seeds, those among uncovered vertices, or a random cluster for each vertex."""
     k, seed = settings.clusters, settings.seed
     if settings.start == "random":
         return random_memberships(vertices, k, seed)
     if settings.start == "seeds":
         return seeded_subneighborhoods(edges, vertices, k, seed)
+    if settings.start == "uncovered":
+        return uncovered_subneighborhoods(edges, vertices, k, seed)
     if settings.start == "best_neighborhood":
         costs = neighborhood_conductance(edges, vertices).withColumnRenamed("conductance", "cost")
     else:
@@ -308,12 +390,16 @@ def bottom_neighborhoods(edges: DataFrame, costs: DataFrame, k: int, overlap: bo
     return all_.groupBy("vertex").agg(F.min("p").alias("p")).select("vertex", F.col("p.tie").alias("cluster"))
 
 
-def simclusters(bip: DataFrame, settings: Settings, threshold: float = 0.0, top_k: int | None = None, squared: bool = False, least_edges: int = 0, step_four: bool = True, log_values: bool = False, normalize_left: bool = False, right_threshold: float = 0.0, normalize_right: bool = False, compatible: bool = True, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def bipartite_communities(bip: DataFrame, settings: Settings, threshold: float = 0.0, top_k: int | None = None, squared: bool = False, least_edges: int = 0, step_four: bool = True, log_values: bool = False, normalize_left: bool = False, right_threshold: float = 0.0, normalize_right: bool = False, compatible: bool = True, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(left, right) embeddings: projection, communities, affiliation scores, then both sides' sparse products.
 
     Communities start from ``start`` or by ``settings.start``. ``compatible`` (the default) keeps three habits of the original: left rows
     are normalised by columns; step four divides by the norms before values changed; after squaring, scores use the degrees and mean of the
     weights as they were, unless a top-k follows. Without it, rows are normalised by rows and all figures are fresh."""
+    if "w" in bip.columns:
+        raise ValueError("weighted bipartite graphs are not supported")
+    if top_k is not None and top_k < 1:
+        raise ValueError("top_k must be at least 1")
     plain = project_right(bip, threshold)
     edges = square_weights(plain) if squared else plain
     edges = materialised(top_k_edges(edges, top_k) if top_k else edges, "projection")

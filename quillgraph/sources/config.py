@@ -13,13 +13,13 @@ from quillgraph.sources import memberships, metis
 from quillgraph.sources.lines import COMMENT
 
 # The keys of the files, and the names of strategies in them.
-SETTINGS = {"K": "clusters", "k": "clusters", "scaleCoeff": "scale", "maxEpoch": "max_epochs", "eps": "least_moves", "evalEvery": "metrics_every", "minClusterSize": "least_size", "maxMembershipsPerVertex": "most_memberships", "runAllEpochs": "all_epochs", "randomSeed": "seed", "divideResultIntoConnectedComponents": "divide", "removeWeakLinksForConnectedComponents": "remove_weak_links", "wtCoeff": "weight"}
+SETTINGS = {"K": "clusters", "k": "clusters", "scaleCoeff": "scale", "maxEpoch": "max_epochs", "eps": "least_moves", "evalEvery": "metrics_every", "minClusterSize": "least_size", "maxMembershipsPerVertex": "most_memberships", "runAllEpochs": "all_epochs", "randomSeed": "seed", "divideResultIntoConnectedComponents": "divide", "removeWeakLinksForConnectedComponents": "remove_weak_links", "wtCoeff": "weight", "evalRatio": "evaluated"}
 STRATEGIES = {"SingleOrZeroMembershipLikelihood": "single", "MultipleMembershipLikelihood": "multiple", "FractionOfNeighbors": "neighbors", "FractionOfNeighborsAndCluster": "neighbors_and_cluster"}
 FILES = "metisFile initFromRowsFile initFromColsFile outputByRowsFile outputByColsFile outputRowsWithScoresFile clusterPrecisionFile outputLeftRepFile outputRightRepFile".split()
-STARTS = {"initFromRandomNeighborhood": "random_neighborhood", "initFromBestNeighborhood": "best_neighborhood"}
+STARTS = {"initFromRandomNeighborhood": "random_neighborhood", "initFromBestNeighborhood": "seeds", "initFromNonoverlappingNeighborhood": "uncovered"}
 NUMBERS = "thresholdForStepOne thresholdForStepThree thresholdForStepFour topKParameter maxTemperature".split()
 SWITCHES = "retainTopK squareWeights normalizeColumnsRight normalizeRowsLeft applyStepFour applyLogTransform useTemperatureSchedule updateImmediately".split()
-IGNORED = "cpu evalRatio noLocking useWeightCoeffForProposal initFromNonoverlappingNeighborhood".split()
+IGNORED = "noLocking useWeightCoeffForProposal".split()
 
 
 @dataclass(frozen=True)
@@ -39,11 +39,12 @@ def _true(word: str) -> bool:
 def parsed(text: str) -> Run:
     """A line is a key and a value; comments and blank lines are skipped. Unknown keys are warned of, unknown strategies give the default.
 
-    A random neighbourhood is the start unless it is switched off; then the best one if it is switched on, else random clusters.
-    Updates that aren't immediate are one batch an epoch."""
+    A random neighbourhood is the start unless it is switched off; then the best sub-neighbourhoods of random seeds or those of uncovered
+    ones, whichever is switched on, else random clusters. Updates that aren't immediate are one batch an epoch; one cpu is a sweep in
+    which neighbours see each other's moves: batches by colours."""
     own: dict = {}
     files, options, unknown = {}, {}, []
-    starts = {"random_neighborhood": True, "best_neighborhood": False}
+    starts = {"random_neighborhood": True, "seeds": False, "uncovered": False}
     kinds = {f.name: f.type for f in sampler.Settings.__dataclass_fields__.values()}
     for line in text.splitlines():
         key, _, value = line.strip().partition(" ")
@@ -55,6 +56,8 @@ def parsed(text: str) -> Run:
             own[name] = _true(value) if kinds[name] == "bool" else float(value) if kinds[name].startswith("float") else int(value)
         elif key == "proposalStrategy":
             own["strategy"] = STRATEGIES.get(value, "single")
+        elif key == "cpu":
+            own["colours"] = int(value) <= 1
         elif key in FILES:
             files[key] = value
         elif key in STARTS:
@@ -113,7 +116,7 @@ def embeddings_from_config(spark: SparkSession, run: Run) -> tuple[DataFrame, Da
     """(left, right) embeddings of the bipartite file; written with a header if the run names files."""
     g = metis.read_bipartite_metis(spark, run.files["metisFile"])
     o = run.options
-    left, right = sampler.simclusters(
+    left, right = sampler.bipartite_communities(
         g.edges, run.settings, threshold=o.get("thresholdForStepOne", 0.0), top_k=int(o["topKParameter"]) if o.get("retainTopK") else None, squared=o.get("squareWeights", False), least_edges=int(o.get("thresholdForStepThree", 0)),
         step_four=o.get("applyStepFour", False), log_values=o.get("applyLogTransform", False), normalize_left=o.get("normalizeRowsLeft", False), right_threshold=o.get("thresholdForStepFour", 0.0), normalize_right=o.get("normalizeColumnsRight", False),
     )

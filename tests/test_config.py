@@ -11,7 +11,7 @@ def test_keys():
     with pytest.warns(UserWarning, match="colour"):
         run = config.parsed("% note\nK 7\nscaleCoeff 0.25\nmaxEpoch 3\nrunAllEpochs true\ncpu 4\ncolour red\nproposalStrategy odd\nuseTemperatureSchedule true\nmaxTemperature 50\ninitFromRandomNeighborhood false\ninitFromBestNeighborhood true\nupdateImmediately false\nmetisFile a b.txt\n")
     s = run.settings
-    assert (s.clusters, s.scale, s.max_epochs, s.all_epochs, s.strategy, s.temperature, s.start, s.batches) == (7, 0.25, 3, True, "single", 50.0, "best_neighborhood", 1)
+    assert (s.clusters, s.scale, s.max_epochs, s.all_epochs, s.strategy, s.temperature, s.start, s.batches, s.colours) == (7, 0.25, 3, True, "single", 50.0, "seeds", 1, False)
     assert run.files == {"metisFile": "a b.txt"} and run.unknown == ("colour",)
     assert config.parsed("initFromRandomNeighborhood false").settings.start == "random" and config.parsed("").settings.start == "random_neighborhood"
     assert config.parsed("proposalStrategy MultipleMembershipLikelihood").settings.strategy == "multiple"

@@ -149,11 +149,11 @@ def test_bipartite_pipeline(spark):
     bip = spark.createDataFrame(rows, "l long, r long").cache()
     start = spark.createDataFrame([(r, r // 3) for r in range(9)], "vertex long, cluster long")
     settings = sampler.Settings(clusters=3, max_epochs=3, scale=1.0, seed=1)
-    left, right = sampler.simclusters(bip, settings, start=start, least_edges=1)
+    left, right = sampler.bipartite_communities(bip, settings, start=start, least_edges=1)
     value = {(r.row, r.col): r.value for r in left.collect()}
     assert len(value) == 18 and sorted({round(x, 6) for x in value.values()}) == [0.830479, 2.830479]
     assert sorted({round(r.value, 6) for r in right.collect()}) == [0.058642, 0.916757, 0.979149]
-    few, _ = sampler.simclusters(bip, settings, start=start, least_edges=2)
+    few, _ = sampler.bipartite_communities(bip, settings, start=start, least_edges=2)
     assert few.count() == 12
-    _, plain = sampler.simclusters(bip, settings, start=start, step_four=False, normalize_right=True, squared=True)
+    _, plain = sampler.bipartite_communities(bip, settings, start=start, step_four=False, normalize_right=True, squared=True)
     assert {round(r.norm, 6) for r in embeddings.norms(plain, "col").collect()} == {1.0}
