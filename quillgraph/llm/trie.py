@@ -27,9 +27,8 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quillgraph.functions.tables import discarded, materialised
+from quillgraph.functions.tables import discarded, materialised, with_running
 from quillgraph.llm.common import HOT, hot_join, mapped, partitions
 
 #: A turn of the opening goes to other conversations up to this place.
@@ -40,20 +39,6 @@ PIECE = 1 << 16
 LANES = ("a", "b", "c", "d")
 
 
-def with_running(rows: DataFrame, by: str, order: list[str], sums: tuple[str, ...] = ()) -> DataFrame:
-    """Adds place (1, 2, ... in each ``by``, by ``order``, which tells rows apart) and total_x for each x of ``sums``. ``rows`` is a written table.
-
-    Rows are sorted into ranges of (``by``, ``order``) and counted in each; a range is told what the ranges before it hold of its group."""
-    ranged = materialised(rows.repartitionByRange(partitions(rows.sparkSession), by, *order).withColumn("range", F.spark_partition_id()), "ranged")
-    counts = ranged.groupBy("range", by).agg(F.count(F.lit(1)).alias("before"), *[F.sum(x).alias(f"before_{x}") for x in sums])
-    earlier = Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range that a group lies in
-    counts = counts.select("range", by, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("before", *(f"before_{x}" for x in sums))])
-    local = Window.partitionBy("range", by).orderBy(*order)
-    mine = ranged.select("*", F.row_number().over(local).alias("local"), *[F.sum(x).over(local.rowsBetween(Window.unboundedPreceding, 0)).alias(f"local_{x}") for x in sums])
-    got = mine.join(counts, ["range", by])
-    return got.select(*rows.columns, (F.col("before") + F.col("local")).cast("long").alias("place"), *[(F.col(f"before_{x}") + F.col(f"local_{x}")).alias(f"total_{x}") for x in sums])
-
-
 def turns(conversations: DataFrame) -> DataFrame:
     """conv, place, turn (a digest of role and text), bytes (of the text)."""
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
@@ -72,9 +57,9 @@ def turns(conversations: DataFrame) -> DataFrame:
         ranked = plain.withColumn("tie", F.lit(0).cast("long"))
     else:  # text is needed only where turns are equal: different (role, text) of tied turns, ranked
         kinds = tied.select("role", "text").distinct().select(digest.alias("digest"), "role", "text")
-        order = with_running(materialised(kinds.withColumn("all", F.lit(0)), "tied"), "all", ["role", "text"]).select("digest", F.col("place").alias("tie"))
+        order = with_running(materialised(kinds, "tied"), [], ["role", "text"]).select("digest", F.col("place").alias("tie"))
         ranked = plain.join(order, "digest", "left").withColumn("tie", F.coalesce("tie", F.lit(0).cast("long")))
-    got = with_running(materialised(ranked, "ordered"), "conv", ["turn", "tie", "row"])
+    got = with_running(materialised(ranked, "ordered"), ["conv"], ["turn", "tie", "row"])
     return materialised(got.select("conv", "place", F.col("digest").alias("turn"), "bytes"), "places")
 
 
@@ -99,7 +84,7 @@ def tree_of(rows: DataFrame, convs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n_rows = rows.count() + convs.count()
     first = convs.agg(F.min("conv")).first()[0]
     key = lambda depth, sums: F.unhex(F.md5(F.concat_ws("|", depth, *sums).cast("binary")))
-    keyed = with_running(rows, "conv", ["depth"], LANES)
+    keyed = with_running(rows, ["conv"], ["depth"], LANES)
     keyed = materialised(keyed.select("conv", "depth", "bytes", key(F.col("depth"), [F.col(f"total_{x}") for x in LANES]).alias("key")), "keyed")
     nodes = materialised(keyed.groupBy("key").agg(F.min("conv").alias("owner"), F.max("depth").alias("depth"), F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("n_convs")), "nodes")
     root = convs.select("conv", F.lit(0).cast("long").alias("depth"), F.lit(first).cast("long").alias("owner"))
