@@ -265,8 +265,8 @@ def fit(edges: DataFrame, vertices: DataFrame, settings: Settings, start: DataFr
 
 
 def k_sample(ids: DataFrame, k: int, seed: int = 1, tag: str = "sample") -> DataFrame:
-    """k of ids(id), the same for the same seed."""
-    return least_by(ids, k, uniform(tag, seed, F.col("id")))
+    """k of ids(id), the same for the same seed, in the order of their draws (a sort in ranges)."""
+    return least_by(ids, k, uniform(tag, seed, F.col("id"))).orderBy(uniform(tag, seed, F.col("id")), "id")
 
 
 def seeded_subneighborhoods(edges: DataFrame, vertices: DataFrame, k: int, seed: int = 1) -> DataFrame:
