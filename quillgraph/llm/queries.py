@@ -21,7 +21,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near", "text_hash")
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=decontaminate.SPAN).drop("text_hash")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 _WORD = r"[^\x{0}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+"
+_SPAN = decontaminate.SPAN
 _TERM = r"[^\x{0}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -89,8 +90,20 @@ spots AS (SELECT r, s, n, array_to_string(w[s : s + n - 1], ' ') AS k FROM (SELE
 hits AS (SELECT r, s, spots.n, spots.k FROM spots JOIN ph ON spots.k = ph.k),
 n_hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM hits) GROUP BY r),
 ids AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM hits JOIN win ON hits.k = array_to_string(win.ph, ' ')) GROUP BY r)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN n_hit ON d.r = n_hit.r LEFT JOIN ids ON d.r = ids.r""",
+need AS (SELECT k, term, count(*) AS c FROM (SELECT k, unnest(ph) AS term FROM ph) GROUP BY k, term),
+post AS (SELECT r, p, term FROM (SELECT r, unnest(range(len(w))) AS p, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM need)),
+often AS (SELECT term, count(*) AS n FROM post GROUP BY term),
+rare AS (SELECT k, arg_min(need.term, coalesce(n, 0)) AS term, count(*) AS terms FROM need LEFT JOIN often ON need.term = often.term GROUP BY k),
+cand AS (SELECT r, k, p, terms FROM post JOIN rare ON post.term = rare.term),
+near AS (SELECT t.r, t.k, t.p, t.terms, t.q, post.term, c FROM (SELECT *, unnest(range(p - {_SPAN - 1}, p + {_SPAN})) AS q FROM cand) AS t JOIN post ON post.r = t.r AND post.p = t.q JOIN need ON need.k = t.k AND need.term = post.term),
+full_ AS (SELECT r, k, p FROM near GROUP BY r, k, p, terms HAVING count(DISTINCT term) = terms),
+few AS (SELECT near.* FROM near JOIN full_ ON near.r = full_.r AND near.k = full_.k AND near.p = full_.p),
+held AS (SELECT x.r, x.k, x.p, x.q, x.terms, y.term FROM few AS x JOIN few AS y ON x.r = y.r AND x.k = y.k AND x.p = y.p AND y.q BETWEEN x.q AND x.q + {_SPAN - 1}
+         WHERE x.q BETWEEN x.p - {_SPAN - 1} AND x.p GROUP BY x.r, x.k, x.p, x.q, x.terms, y.term, y.c HAVING count(*) >= y.c),
+close AS (SELECT DISTINCT r, k FROM (SELECT r, k FROM held GROUP BY r, k, p, q, terms HAVING count(*) = terms)),
+n_near AS (SELECT r, count(DISTINCT CAST(item_id AS VARCHAR)) AS n_near FROM close JOIN win ON close.k = array_to_string(win.ph, ' ') GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN n_hit ON d.r = n_hit.r LEFT JOIN ids ON d.r = ids.r LEFT JOIN n_near ON d.r = n_near.r""",
     "op7_suffix_dedup": """
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(coalesce(text, ''))) AS no, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT no, p, substr(h, 2 * p + 1, 200) AS s FROM (SELECT no, h, unnest(range(0, len(h) // 2 - 99)) AS p FROM d WHERE len(h) >= 200)),
