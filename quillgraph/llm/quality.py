@@ -97,7 +97,7 @@ def gram_counts(docs: DataFrame, ids: DataFrame, cells: int = CELLS) -> DataFram
 
 
 def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, cells: int = CELLS, smoothing: float = SMOOTHING) -> DataFrame:
-    """doc_id, text_hash, the base columns, llr (mean log ratio per n-gram, 0 without words) and kept for every row.
+    """doc_id, the base columns, kept, llr (mean log ratio per n-gram, 0 without words) and text_hash for every row.
 
     Each row's cells are scored against the broadcast counts (at most ``cells`` rows) and summed per row within its task, as a
     trusted row's and as another's; which of the sums holds is joined to the short rows that come out."""
@@ -118,4 +118,4 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, cel
     sums = sums.join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
     of = F.coalesce(F.when(F.col("trusted_id").isNotNull(), F.col("member")).otherwise(F.col("foreign")), F.lit(0.0))
     sums = sums.withColumn("llr", F.round(F.when(F.col("n_grams") > 0, of / F.col("n_grams")).otherwise(F.lit(0.0)), 9))
-    return sums.select(*keep[1:-1], "llr", (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"))
+    return sums.select("doc_id", *keep[3:-1], (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"), "llr", "text_hash")
