@@ -6,8 +6,8 @@ The tree works on one short row per document, written once to the shared folder:
 level are cut together: a table of a row per node meets the rows, and histograms (``FINE`` cells a node and round) are refined
 over the dimension and then over the tie-break, so rows that are equal in a dimension can be cut apart; the driver sees a row
 for each node and round. A node that holds k shards is cut k // 2 : k - k // 2 by bytes, to within half of the document at the
-cut, so shards' sizes differ by about the largest document at most. Rows of equal text lie next to each other in the tie-break,
-so a group of copies stays in one shard unless a cut falls inside it.
+cut, so shards' sizes differ by about the largest document at most. Rows of equal text lie next to each other in the tie-break
+only: copies that differ in doc_id or source are rows of their own places and often lie in several shards.
 
 Defined results: a null text has 8 bytes and the checksum of no bytes; null dimensions count as 0; repeated rows are rows of
 their own; an empty table gives an empty result; other columns are ignored.
