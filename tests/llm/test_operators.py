@@ -6,6 +6,7 @@ import re
 import struct
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from quillgraph.llm import bpe, decontaminate, html, neardup, quality, sharding, suffixes, tokens, toxicity, urlfilter
@@ -143,3 +144,15 @@ def test_pages(spark):
 @pytest.mark.parametrize("work", [bpe.round_trip, tokens.round_trip, suffixes.digest, neardup.classes, sharding.kd_shards])
 def test_empty_table(docs, work):
     assert work(docs.where("doc_id < 0")).count() == 0
+
+
+def test_ids_of_marks_and_capitals():
+    """Stems and tails that are looked up apart give the ids of the whole."""
+    import public_tokenizers as p
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    bits = [*"abAB.,;:!?'|1", "'s", "é", "É", "́", "̸", "İ", "ς", "…", "日", "\x00", "<|endoftext|>", "<|ENDOFTEXT|>", "DON'T", *" \n "]
+    texts = [None, *("".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(5000))]
+    theirs = Tokenizer.from_file(p.path(tokens.VOCABULARY))
+    assert tokens.encode_texts(pa.array(texts, pa.string())).to_pylist() == [theirs.encode(t or "", add_special_tokens=False).ids + [tokens.END] for t in texts]
