@@ -25,62 +25,41 @@ from quillgraph.llm.common import fresh_path, mapped, partitions
 VOCABULARY, END = "word_bpe_49k.json", 2
 #: Chunks of text whose ids a worker remembers, in two generations of at most so many each.
 MEMO = 500_000
-#: Marks that are cut off a chunk's end.
-TAIL = ".,;:!?"
 #: Rows of one Arrow batch of ids.
 ROWS = 1000
 SCHEMA = "doc_id long, part int, row long, n_tokens int, ids array<int>"
 
 
 class _Memo:
-    """Packed ids (little-endian, 32 bits) of chunks between ASCII white space. The vocabulary's words never cross white space, so the chunks' ids make the text's.
-
-    Where the vocabulary cuts ``TAIL`` off a letter, or has no capitals, a chunk's ids are those of its stem and of its tail, so stems are encoded once."""
+    """Packed ids (little-endian, 32 bits) of chunks between ASCII white space. The vocabulary's words never cross white space, so the chunks' ids make the text's."""
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
-        normal, words = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
-        self.tail = "".join(c for c in TAIL if words and len(words.pre_tokenize_str("a" + c)) == 2)
-        self.low = bool(normal) and normal.normalize_str("A") == "a"
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def parts(self, chunk: str) -> tuple[str, str]:
-        """Stem and tail. A tail follows a Latin letter, which nothing in it can join."""
-        stem = chunk.rstrip(self.tail) if chunk[-1:] in self.tail else chunk
-        if len(stem) < len(chunk) and not (stem and stem[-1] < "\u0250" and stem[-1].lower().isalpha()):  # a dotted capital I ends in a mark
-            stem = chunk
-        tail = chunk[len(stem) :]
-        return stem.lower() if self.low and stem.isascii() and stem.isalpha() else stem, tail
-
-    def encode(self, chunks: list[str]) -> dict[str, bytes]:
-        """Many at a call."""
-        out = {}
-        for at in range(0, len(chunks), 4096):
-            part = chunks[at : at + 4096]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            raw, ends = np.array(got.ids, "<u4").tobytes(), (4 * np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)))).tolist()
-            out.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
-        return out
-
     def ids(self, chunks: list[str]) -> list[bytes]:
-        """Of each chunk."""
+        """Of each chunk. Unknown ones are encoded many at a call."""
         out = list(map(self.known.get, chunks))
-        halves = {i: self.parts(chunks[i]) for i, got in enumerate(out) if got is None}
-        wanted = {x for both in halves.values() for x in both if x}
-        found = {x: got for x in wanted if (got := self.known.get(x) or self.older.get(x)) is not None}
-        fresh = self.encode(list(wanted - found.keys()))
-        found.update(fresh)
-        found[""] = b""
-        for i, (stem, tail) in halves.items():
-            out[i] = found[stem] + found[tail]
-        if fresh:
+        missing = []
+        for i, got in enumerate(out):
+            if got is None:
+                out[i] = self.older.get(chunks[i])
+                if out[i] is None:
+                    missing.append(i)
+        for at in range(0, len(missing), 4096):
+            part = missing[at : at + 4096]
+            got = self.tokenizer.encode([chunks[i] for i in part], is_pretokenized=True, add_special_tokens=False)
+            raw, ends = np.array(got.ids, "<u4").tobytes(), (4 * np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)))).tolist()
+            for i, a, b in zip(part, [0, *ends], ends, strict=False):
+                out[i] = raw[a:b]
+        if missing:
             if len(self.known) >= MEMO:
                 self.known, self.older = {}, self.known
-            self.known.update((x, got) for x, got in fresh.items() if len(x) <= 64)
+            self.known.update((chunks[i], out[i]) for i in missing if len(chunks[i]) <= 64)
         return out
 
 
