@@ -5,12 +5,14 @@ frequency below the ``FREQUENT``-th part of all shingles of all texts counts as
 most ``FREQUENT``, whatever the corpus, and a corpus of no more shingles has them all. They are counted exactly. A frequent
 shingle has its share in some task at least, so only shingles that reach it in one are counted over all texts.
 
-``BANDS`` x ``ROWS`` consistent weighted samples make the bands' buckets. In a bucket the text that has most company in all of
-its buckets (the likely origin of a group of copies) is compared with all others by exact weighted Jaccard similarity, takes
-those that are similar into its class, and leaves. Until all of a bucket are one class, by its own links or by those of other
-buckets, that is repeated: ``UNSPLIT`` times in
-the same bucket, then in buckets that are keyed by ``STEP`` further samples each. So no pair list grows with the square of a bucket,
-and a large group of near copies needs few rounds. Classes are connected components of the links.
+``BANDS`` x ``ROWS`` consistent weighted samples make the bands' buckets. All texts that share a bucket are compared by exact
+weighted Jaccard similarity, unless they are one class already: a task has a bucket's shingles and searches it breadth first,
+each text against those that no link has reached. Two bounds skip comparisons that can't succeed: a text's weight against the
+other's, and the weight of the shingles that it shares with any other against what a similar pair must have in common. Buckets
+of equal members are searched once. A bucket of more than ``BLOCK`` shingles first has ``LEADS`` leaders (those that have most
+company in all of their buckets, the likely origins of groups of copies), each compared with all others; if that doesn't make it
+one class, it is dealt into blocks, and every two blocks meet in a task. A bucket gives one link less than it has texts at most,
+so no pair list grows with its square. Classes are connected components of the links.
 
 Defined results: null and empty texts are equal texts; texts of fewer than five words are one shingle; wordless texts have
 no near copies; rows with equal texts share their class, rows with equal ids and different texts need not; other columns are
@@ -28,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import dropped, hot_join, mapped, text_hash, text_key, with_bounded_side, written
+from quillgraph.llm.common import dropped, hot_join, mapped, partitions, text_hash, text_key, with_bounded_side, written
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 8, 3
-#: Rounds before buckets are split, further samples, and how many of them each split takes.
-UNSPLIT, MORE, STEP = 2, 18, 3
-#: After the unsplit rounds, and then every so many, members get the names of the classes that all links make.
-RELABEL = 4
+#: Shingles of a bucket that a task compares with one another, and leaders of a bucket of more.
+BLOCK, LEADS = 1 << 19, 2
+#: What a text counts besides its shingles, so a block of very short texts is not of too many.
+LEAST = 50
 FREQUENT = 1 << 18
 #: Pairs of one leader that may meet in a task; a leader of more is copied to as many tasks as it takes.
 SHARE = 512
@@ -47,7 +49,7 @@ _SEED = np.random.default_rng(20)
 GAMMA = _SEED.gamma(2.0, 1.0, TABLE)
 LOG_C = np.log(_SEED.gamma(2.0, 1.0, TABLE))
 BETA = _SEED.random(TABLE)
-ODD = _SEED.integers(1, 1 << 63, BANDS * ROWS + MORE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+ODD = _SEED.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 MEMO = 500_000
 #: Shingles that a task samples at once.
@@ -142,6 +144,66 @@ def similarity(a: tuple, b: tuple) -> float:
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
+def forest(h: np.ndarray, w: np.ndarray, starts: np.ndarray, label: np.ndarray, side: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int]]:
+    """(text, other, root) for every text that a similar ``other`` connects to the ``root`` of a search, in which texts of one
+    ``label`` are connected already. Texts of one ``side`` are not compared, unless all are of one. ``starts``: where each text's
+    shingles begin, and the last one's end."""
+    of = lambda i: (h[starts[i] : starts[i + 1]], w[starts[i] : starts[i + 1]])
+    m, one_side = len(label), (side == side[0]).all()
+    if m == 2:
+        if label[0] != label[1] and similarity(of(0), of(1)) >= threshold:
+            yield 1, 0, 0
+        return
+    total = np.add.reduceat(w, starts[:-1])
+    _, column, times = np.unique(h, return_inverse=True, return_counts=True)
+    shared = times[column] > 1  # other shingles are in no intersection
+    row = np.repeat(np.arange(m), np.diff(starts))[shared]
+    column, weight = column[shared], w[shared]
+    common = np.bincount(row, weight, m)
+    ends = np.searchsorted(row, np.arange(m + 1))
+    dense = np.zeros(len(times))
+    least, slack = threshold / (1 + threshold), 1 - 1e-9  # similar texts have that part of their summed weights in common
+    mates: dict[int, list[int]] = {}
+    for i, x in enumerate(label.tolist()):
+        mates.setdefault(x, []).append(i)
+    unreached, hopeful = np.ones(m, bool), common >= threshold * slack * total
+
+    def gathered(texts: np.ndarray) -> tuple[np.ndarray, ...]:
+        sizes = ends[texts + 1] - ends[texts]
+        heads = np.cumsum(sizes) - sizes
+        at = np.repeat(ends[texts] - heads, sizes) + np.arange(sizes.sum())
+        return texts, column[at], weight[at], heads
+
+    pool = None
+    for first in range(m):
+        if not unreached[first]:
+            continue
+        queue = mates[int(label[first])]
+        unreached[queue] = False
+        queue = list(queue)
+        while queue:
+            i = queue.pop()
+            lower = least * slack * (total + total[i])
+            may = unreached & hopeful & (common >= lower) & (common[i] >= lower)
+            if not one_side:
+                may &= side != side[i]
+            if not may.any():
+                continue
+            if pool is None or 2 * unreached[pool[0]].sum() < len(pool[0]):
+                pool = gathered(np.flatnonzero(unreached & hopeful))
+            some = pool if 4 * may.sum() > len(pool[0]) else gathered(np.flatnonzero(may))
+            own = slice(ends[i], ends[i + 1])
+            dense[column[own]] = weight[own]
+            both = np.add.reduceat(np.minimum(dense[some[1]], some[2]), some[3])
+            dense[column[own]] = 0
+            for j in some[0][may[some[0]] & (both >= lower[some[0]])].tolist():
+                if unreached[j] and similarity(of(i), of(j)) >= threshold:
+                    yield j, i, first
+                    fresh = mates[int(label[j])]
+                    unreached[fresh] = False
+                    queue += fresh
+
+
 def shingled(docs: DataFrame) -> DataFrame:
     """no, key, id (least doc_id), h, n of every different text; written once. Copies are combined in each task before the shuffle."""
     rows = docs.select(text_key().alias("key"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -174,8 +236,10 @@ def _counted(table: DataFrame, some: DataFrame, least: float) -> pd.DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         df = np.zeros(len(block.value), np.int64)
         for batch in batches:
-            own = np.sort(_flat(batch.column(0))[0])
-            df += np.searchsorted(own, block.value, "right") - np.searchsorted(own, block.value)
+            all_ = _flat(batch.column(0))[0]
+            for at in range(0, len(all_), FREQUENT_BLOCK):
+                own = np.sort(all_[at : at + FREQUENT_BLOCK])
+                df += np.searchsorted(own, block.value, "right") - np.searchsorted(own, block.value)
         yield {"s": block.value[df > 0], "df": df[df > 0]}
 
     sums = mapped(table.select("h"), run, "s long, df long").groupBy("s").agg(F.sum("df").alias("df"))
@@ -189,7 +253,9 @@ def frequencies(table: DataFrame, frequent: int = FREQUENT) -> Weights:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         parts = [_flat(b.column(0))[0] for b in batches]
-        all_ = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+        all_ = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        parts.clear()
+        all_.sort()
         ends = np.flatnonzero(np.append(all_[1:] != all_[:-1], True)) if len(all_) else np.zeros(0, np.int64)
         keep = np.diff(ends, prepend=-1) >= len(all_) / frequent  # else it is rare in this task
         yield {"s": all_[ends[keep]]}
@@ -205,7 +271,7 @@ def frequencies(table: DataFrame, frequent: int = FREQUENT) -> Weights:
 
 
 def sketched(table: DataFrame, weights) -> DataFrame:
-    """no, buckets, more of every text with words."""
+    """no, size (shingles), buckets of every text with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -222,9 +288,9 @@ def sketched(table: DataFrame, weights) -> DataFrame:
                 for k in range(ROWS):
                     key = (key ^ got[:, k * BANDS : (k + 1) * BANDS]) * FACTOR
                     key ^= key >> np.uint64(32)
-                yield {"no": piece.column(0).to_numpy()[keep], "buckets": list(key.view(np.int64)), "more": list(got[:, BANDS * ROWS :].view(np.int64))}
+                yield {"no": piece.column(0).to_numpy()[keep], "size": np.diff(ends)[keep], "buckets": list(key.view(np.int64))}
 
-    return mapped(table.select("no", "h", "n"), run, "no long, buckets array<long>, more array<long>")
+    return mapped(table.select("no", "h", "n"), run, "no long, size long, buckets array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -282,48 +348,105 @@ def _verified(pairs: DataFrame, table: DataFrame, weights, threshold: float) ->
     return mapped(dealt.join(side("b"), "b").join(leaders, ["a", "share"]).select("a", "b", "h_a", "n_a", "h_b", "n_b"), run, "a long, b long")
 
 
-def links(table: DataFrame, threshold: float = THRESHOLD, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
-    """a, b: links that connect every class of different texts, and fewer edges with the same components; both written. ``table``: of ``shingled``; it is deleted when fewer texts are left to compare."""
-    weights = table.sparkSession.sparkContext.broadcast(frequencies(table, frequent))
-    sketch = written(sketched(table, weights), "sketches")
-    buckets = sketch.select("no", F.explode("buckets").alias("bucket"))
-    full = buckets.join(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket")
-    full = written(full.select("no", "bucket", "n"), "full-buckets")
-    company = full.groupBy("no").agg((-F.sum("n")).alias("rank"))
-    members = full.select("no", "bucket").join(company, "no").join(sketch.select("no", "more"), "no").select("no", "bucket", "rank", "more", F.col("no").alias("label"))
-    done, tested, stars, shelf, k = None, None, None, table, 0
-    while True:
+def _led(members: DataFrame, shelf: DataFrame, weights, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members of buckets that their leaders' links don't make one class, with the class that they are in by then (label), without the
+    leaders; the links a, b; edges x, y with their components. ``members``: no, bucket, rank, blocks, label."""
+    found = stars = None
+    for _ in range(LEADS):
         # a bucket is open while it has members of different classes
         heads = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("rank", "no", "label")).alias("x")).where("lo < hi")
         rows = members.join(heads.select("bucket", F.col("x.no").alias("a"), F.col("x.label").alias("own")), "bucket").where("no <> a")
-        rows = written(rows.select("bucket", "no", "rank", "more", "label", "a", "own"), "open-buckets")
+        rows = written(rows, "open-buckets")
         dropped(members)
-        if rows.isEmpty():
-            dropped(sketch, full, shelf)
-            none = rows.select("a", F.col("no").alias("b"))
-            return (done, stars) if done is not None else (none, none)
-        if k % 2 == 0:  # the texts that may still be compared
-            ids = with_bounded_side(written(rows.select("no").union(rows.select("a")).distinct(), "open-ids"))
-            old, shelf = shelf, written(shelf.join(ids, "no", "left_semi").select("no", "h", "n"), "open-texts")
-            dropped(old)
-        pairs = rows.where("label <> own").select("a", F.col("no").alias("b")).distinct()
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = written(_verified(pairs, shelf, weights, threshold), "links")
-        done = found if done is None else done.union(found)
-        stars = found if stars is None else stars.union(found)
-        linked = rows.join(done.select("a", F.col("b").alias("no"), F.lit(True).alias("linked")), ["a", "no"], "left")
-        at = (k - UNSPLIT) * STEP
-        split = F.xxhash64("bucket", *[F.get("more", F.lit(at + i)) for i in range(STEP)]) if 0 <= at < MORE else F.col("bucket")
-        fresh = linked.select("no", split.alias("bucket"), "rank", "more", F.when(F.col("linked"), F.col("own")).otherwise(F.col("label")).alias("label"))
-        if k >= UNSPLIT - 1 and (k - UNSPLIT + 1) % RELABEL == 0:  # members that are one class by links of other buckets
-            name = written(components(stars), "class-names")
-            stars = name.select(F.col("node").alias("a"), F.col("label").alias("b"))  # the next ones start from these
-            name = name.select(F.col("node").alias("label"), F.col("label").alias("known"))
-            fresh = fresh.join(name, "label", "left").withColumn("label", F.coalesce("known", "label")).drop("known")
-        members = written(fresh.select("no", "bucket", "rank", "more", "label"), "members")
-        dropped(rows)
-        k += 1
+        opened = rows
+        pairs = written(rows.where("label <> own").select("a", F.col("no").alias("b")).distinct(), "pairs")
+        fresh = written(_verified(pairs, shelf, weights, threshold), "links")
+        found = fresh if found is None else found.union(fresh)
+        edges = fresh.select(F.col("a").alias("x"), F.col("b").alias("y"))
+        name = written(components(edges.toDF("a", "b") if stars is None else edges.union(stars).toDF("a", "b")), "class-names")
+        stars = name.select(F.col("node").alias("x"), F.col("label").alias("y"))
+        name = name.select(F.col("node").alias("no"), F.col("label").alias("known"))
+        rows = rows.join(name, "no", "left").select("no", "bucket", "rank", "blocks", F.coalesce("known", "no").alias("label"))
+        members = written(rows, "members")
+        dropped(pairs, opened)
+    split = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    return members.join(split, "bucket", "left_semi"), found, stars
+
+
+def _searched(members: DataFrame, shelf: DataFrame, weights, threshold: float) -> DataFrame:
+    """Links a, b of the searches in buckets, and x, y, the labels that each connects to its search's root. ``members``: no, bucket, blocks, label."""
+
+    def solve(held: list[pa.RecordBatch]) -> list[np.ndarray] | None:
+        table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        no, side, label = (table.column(i).to_numpy() for i in (3, 4, 5))
+        if (label == label[0]).all() or len(no) < 2:
+            return None
+        h, ends = _flat(table.column(6))
+        h = h.view(np.uint64)
+        got = list(forest(h, weights.value.of(h, _flat(table.column(7))[0])[0], ends, label, side, threshold))
+        if not got:
+            return None
+        child, parent, root = np.array(got).T
+        return [no[parent], no[child], label[root], label[child]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            cuts = (np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()
+            found = []
+            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if held and (lo or (key[:, 0] != last).any()):
+                    found.append(solve(held))
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+            last = key[:, -1]
+            yield from together(found)
+        if held:
+            yield from together([solve(held)])
+
+    def together(found: list) -> Iterator[dict]:
+        found = [f for f in found if f is not None]
+        if found:
+            yield dict(zip("abxy", (np.concatenate(c) for c in zip(*found, strict=True)), strict=True))
+
+    side, other = F.pmod(F.xxhash64("no"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    rows = members.select("no", "bucket", "label", side.alias("side"), other.alias("other"))
+    rows = rows.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "no", "side", "label")
+    rows = rows.join(shelf, "no").select("bucket", "i", "j", "no", "side", "label", "h", "n")
+    rows = rows.repartition(partitions(rows.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return mapped(rows, run, "a long, b long, x long, y long")
+
+
+def links(table: DataFrame, threshold: float = THRESHOLD, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
+    """a, b: links that connect every class of different texts, and edges with the same components; both written. ``table``: of ``shingled``; it is deleted."""
+    weights = table.sparkSession.sparkContext.broadcast(frequencies(table, frequent))
+    sketch = written(sketched(table, weights), "sketches")
+    buckets = sketch.select("no", "size", F.explode("buckets").alias("bucket"))
+    # two hashes of 64 bits stand for a bucket's members
+    sets = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size") + LEAST).alias("total"), F.bit_xor(F.xxhash64("no")).alias("u"), F.bit_xor(F.xxhash64("no", F.lit(1))).alias("v")).where("n > 1")
+    sets = sets.groupBy("n", "u", "v").agg(F.min(F.struct("bucket", "total")).alias("x")).select("x.bucket", "n", F.ceil(F.col("x.total") / BLOCK).alias("blocks"))
+    full = written(buckets.join(sets, "bucket").select("no", "bucket", "n", "blocks"), "full-buckets")
+    dropped(sketch)
+    ids = written(full.select("no").distinct(), "open-ids")
+    shelf = written(table.join(with_bounded_side(ids), "no", "left_semi").select("no", "h", "n"), "open-texts")
+    dropped(table, ids)
+    members = full.where("blocks = 1").select("no", "bucket", "blocks", F.col("no").alias("label"))
+    found = stars = None
+    if not full.where("blocks > 1").isEmpty():
+        company = full.groupBy("no").agg((-F.sum("n")).alias("rank"))
+        hot = full.where("blocks > 1").join(company, "no").select("no", "bucket", "rank", "blocks", F.col("no").alias("label"))
+        rest, found, stars = _led(hot, shelf, weights, threshold)
+        members = members.union(rest.select(members.columns))
+    seen = written(_searched(members, shelf, weights, threshold), "links")
+    dropped(full, shelf)
+    pairs, edges = seen.select("a", "b"), seen.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    if found is not None:
+        pairs, edges = pairs.union(found), edges.union(stars)
+    return written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links"), edges
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, frequent: int = FREQUENT) -> DataFrame:
