@@ -7,7 +7,10 @@ sort. Equal contexts are grouped by their bytes: all but the first go whole. Dif
 both directions from the anchor, by a mergesort that compares two suffixes by binary search over prefix polynomial hashes.
 Neighbours in these orders tell how far a context agrees with any other, and so which of its windows may repeat; those are
 classed by hash, and every hit is compared with the first of its class byte by byte. An anchor of more than ``GROUP`` different
-contexts is not sorted in one task: its windows are grouped by their bytes, as rows.
+contexts is not sorted in one task: its windows are halved by their offsets to it. All windows of a half have a longer core
+around the anchor in common if they are equal, so contexts are grouped by that core and compared by the half's bytes alone, equal
+ones as one; a group that is still too large is halved again, until its core is a window. So a context is two rows a step, and
+only as long as its group is large.
 
 Defined results: a null text is empty; texts shorter than ``length`` stay whole; rows are documents of their own, ordered by
 doc_id (nulls first), the text's key and, if both are equal, in any order, so of repeated rows one is the first and the others
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import dropped, mapped, partitions, per_batch, text_key, with_bounded_side, written
 
 LENGTH, K = 100, 32
-#: Different contexts of one anchor that a task sorts; those of a more frequent anchor are grouped window by window.
+#: Different contexts of one anchor, or of one longer core, that a task sorts; those of a more frequent one are grouped by longer cores.
 GROUP = 1000
 #: Bytes of contexts that are sorted at once, and windows of a text that are anchored at once.
 CHUNK, PIECE = 1 << 19, 1 << 20
@@ -280,16 +283,49 @@ def _sorted_repeats(kinds: DataFrame, length: int) -> DataFrame:
     return mapped(rows.select("h", "rel", "context", "no_", "spot"), run, "no_ long, lo int, hi int")
 
 
-def _window_repeats(kinds: DataFrame, length: int) -> DataFrame:
-    """The same for contexts of very frequent anchors: windows as rows, grouped by their bytes."""
+def _halved(kinds: DataFrame, length: int) -> DataFrame:
+    """Every context's part for either half of the offsets ``near`` .. ``far`` of windows to their anchor; h: of the anchor's h and the core that all windows of the half contain."""
+    mask = (1 << OFFSET) - 1
+    middle = F.shiftright(F.col("near") + F.col("far"), 1)
+    rows = kinds.withColumn("half", F.explode(F.array(F.struct(F.col("near").alias("x"), middle.alias("y")), F.struct((middle + 1).alias("x"), F.col("far").alias("y")))))
+    a, b = F.greatest(F.col("rel") - F.col("spot").bitwiseAND(mask).cast("int"), F.col("half.x")), F.least("rel", F.col("half.y"))
+    rows = rows.withColumn("a", a).withColumn("b", b).where("a <= b")
+    core = F.substring("context", F.col("rel") - F.col("half.x") + 1, F.lit(length) - F.col("half.y") + F.col("half.x"))
+    part = F.substring("context", F.col("rel") - F.col("b") + 1, F.col("b") - F.col("a") + length)
+    spot = F.shiftleft(F.shiftright("spot", 2 * OFFSET), 2 * OFFSET) + F.shiftleft(F.col("b").cast("long"), OFFSET) + (F.col("b") - F.col("a"))
+    return rows.select(F.xxhash64("h", "half.x", core).alias("h"), F.col("half.x").alias("near"), F.col("half.y").alias("far"), F.col("b").alias("rel"), part.alias("context"), "no_", spot.alias("spot"))
+
+
+def _often(kinds: DataFrame) -> DataFrame:
+    return with_bounded_side(written(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("h"), "frequent-anchors"))
+
+
+def _lo(spot: Column) -> Column:
+    return F.shiftright(spot, 2 * OFFSET) - F.shiftright(spot, OFFSET).bitwiseAND((1 << OFFSET) - 1)
+
+
+def _end(spot: Column, length: int) -> Column:
+    return _lo(spot) + spot.bitwiseAND((1 << OFFSET) - 1) + length
 
-    def work(rel: list, contexts: list, no: list, spot: list) -> dict:
-        rows = [(c[i : i + length], n, (s >> 2 * OFFSET) - r + i) for r, c, n, s in zip(rel, contexts, no, spot, strict=True) for i in range(len(c) - length + 1)]
-        return {"bytes": [x[0] for x in rows], "no_": [x[1] for x in rows], "lo": [x[2] for x in rows]}
 
-    rows = per_batch(kinds, ["rel", "context", "no_", "spot"], work, "bytes binary, no_ long, lo int")
-    firsts = rows.groupBy("bytes").agg(F.min(F.struct("no_", "lo")).alias("x")).select("x.*")
-    return rows.join(firsts, ["no_", "lo"], "left_anti").select("no_", "lo", (F.col("lo") + length).alias("hi"))
+def _frequent_repeats(kinds: DataFrame, length: int) -> DataFrame:
+    """The same for contexts of very frequent anchors, by longer cores."""
+    rows, found = kinds.withColumn("near", F.lit(0)).withColumn("far", F.lit(length - K)), None
+    while True:
+        halves = _halved(rows, length)
+        fresh = halves.groupBy("h", "near", "far", "rel", "context").agg(F.min(F.struct("no_", "spot")).alias("x")).select("h", "near", "far", "rel", "context", "x.*")
+        fresh = written(fresh, "finer-contexts")
+        later = halves.select("no_", "spot").join(fresh.select("no_", "spot"), ["no_", "spot"], "left_anti")
+        later = later.select("no_", _lo(F.col("spot")).cast("int").alias("lo"), _end(F.col("spot"), length).cast("int").alias("hi"))
+        frequent = _often(fresh.where("near < far"))  # else the core is the window
+        some = written(later.union(_sorted_repeats(fresh.join(frequent, "h", "left_anti"), length)), "repeats")
+        found = some if found is None else found.union(some)
+        dropped(rows)
+        if frequent.isEmpty():
+            dropped(fresh)
+            return found
+        rows = written(fresh.join(frequent, "h", "left_semi"), "finer-contexts")
+        dropped(fresh)
 
 
 def spans_of(texts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -305,12 +341,13 @@ def spans_of(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     kinds = _contexts(texts, spots, length).groupBy("h", "rel", "context").agg(F.min(F.struct("no_", "spot")).alias("x")).select("h", "rel", "context", "x.*")
     kinds = written(kinds, "contexts")
     dropped()
-    frequent = with_bounded_side(written(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("h"), "frequent-anchors"))
-    single = _sorted_repeats(kinds.join(frequent, "h", "left_anti"), length).union(_window_repeats(kinds.join(frequent, "h", "left_semi"), length))
+    frequent = _often(kinds)
+    single = _sorted_repeats(kinds.join(frequent, "h", "left_anti"), length)
+    if not frequent.isEmpty():
+        single = single.union(_frequent_repeats(kinds.join(frequent, "h", "left_semi"), length))
     single = single.groupBy("no_").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
     firsts = kinds.groupBy("no_").agg(F.collect_list("spot").alias("own"))
-    lo = lambda s: F.shiftright(s, 2 * OFFSET) - F.shiftright(s, OFFSET).bitwiseAND((1 << OFFSET) - 1)
-    span = lambda s: F.struct(lo(s).cast("int").alias("lo"), (lo(s) + s.bitwiseAND((1 << OFFSET) - 1) + length).cast("int").alias("hi"))
+    span = lambda s: F.struct(_lo(s).cast("int").alias("lo"), _end(s, length).cast("int").alias("hi"))
     none = F.array().cast("array<struct<lo:int,hi:int>>")
     later = F.array_except("spots", F.coalesce("own", F.array().cast("array<bigint>")))
     cuts = spots.join(firsts, "no_", "left").join(single, "no_", "left").select("no_", F.concat(F.transform(later, span), F.coalesce("parts", none)).alias("spans"))
