@@ -30,7 +30,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class of near copies: the least doc_id (nulls last), then the least text key; one row of it."""
-    return _those(docs, neardup.classes(docs).where("is_first")).dropDuplicates(["doc_id", "hash_"]).select(*COLUMNS)
+    return _those(docs, neardup.classes(docs, exact=True).where("is_first")).dropDuplicates(["doc_id", "hash_"]).select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import gc
 import tempfile
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +43,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def written_in_turn(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """The rows of all parts (one at least) as one such table; a part's shuffles are gone before the next one begins."""
+    path = None
+    for part in parts:
+        path = path or fresh_path(part.sparkSession, name)
+        part.write.mode("append").option("compression", "zstd").parquet(path)
+        dropped()
+    out = part.sparkSession.read.schema(part.schema).parquet(path)
+    out._quillgraph_path = path
+    return out
+
+
 def dropped(*tables: DataFrame | None) -> None:
     """Deletes written tables that nothing reads any more, and lets the driver forget finished shuffles, whose files Spark then removes."""
     for table in tables:

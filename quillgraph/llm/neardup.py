@@ -1,9 +1,11 @@
 """Near-duplicate classes by improved consistent weighted sampling (Ioffe, 2010) over TF-IDF word shingles.
 
-Equal texts are collapsed. A shingle of five words weighs its count in the text times ln(1 + texts / df), where a document
-frequency below the ``FREQUENT``-th part of all shingles of all texts counts as that much: so the frequencies that matter are at
-most ``FREQUENT``, whatever the corpus, and a corpus of no more shingles has them all. They are counted exactly. A frequent
-shingle has its share in some task at least, so only shingles that reach it in one are counted over all texts.
+Equal texts are collapsed. A shingle of five words weighs its count in the text times ln(1 + texts / df). The queries take the
+exact document frequency of every shingle; without ``exact``, one below the ``FREQUENT``-th part of all shingles of all texts
+counts as that much. Shingles of at least that part are at most ``FREQUENT``, whatever the corpus, and are broadcast: such a
+shingle has its share in some task at least, so only shingles that reach it in one are counted over all texts. All others are
+counted in ranges of their hashes, to which each group of texts sends its different ones, and a group gets those back that two
+texts or more have. Ranges and groups take turns, so only a part of the shingles is on disk twice at a time.
 
 ``BANDS`` x ``ROWS`` consistent weighted samples make the bands' buckets. All texts that share a bucket are compared by exact
 weighted Jaccard similarity, unless they are one class already: a task has a bucket's shingles and searches it breadth first,
@@ -22,15 +24,15 @@ where ids repeat. is_first marks the rows of the least doc_id (nulls last), of t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import dropped, hot_join, mapped, partitions, text_hash, text_key, with_bounded_side, written
+from quillgraph.llm.common import arrow_schema, dropped, hot_join, mapped, partitions, text_hash, text_key, with_bounded_side, written, written_in_turn
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 8, 3
@@ -39,6 +41,10 @@ BLOCK, LEADS = 1 << 19, 2
 #: What a text counts besides its shingles, so a block of very short texts is not of too many.
 LEAST = 50
 FREQUENT = 1 << 18
+#: Bits of a text's number within its group, of hashes that tell their range, and of both that tell whose turn it is.
+WITHIN, RANGE, TURN = 8, 10, 2
+#: Document frequencies up to this have their costs in tables.
+LOW = 8
 #: Pairs of one leader that may meet in a task; a leader of more is copied to as many tasks as it takes.
 SHARE = 512
 #: Shingles that a task counts, and candidates that are counted at once.
@@ -87,22 +93,28 @@ def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Weights:
-    """Inverse document frequencies: ``hashes`` in order with their ``idf``; of all other shingles ``rare``."""
+    """Inverse document frequencies of ``texts``, where one below ``least`` counts as that much; ``hashes`` (in order) and ``df`` of the frequent shingles."""
 
     def __init__(self, hashes: np.ndarray, df: np.ndarray, texts: int, least: float):
         order = np.argsort(hashes)
         self.hashes = np.append(hashes[order], ~np.uint64(0))
-        self.idf = np.append(np.log1p(texts / np.maximum(df[order], least)), 0.0)
-        self.rare = float(np.log1p(texts / max(least, 1.0)))
-        cost, _ = _costs(np.full(TABLE, np.log(self.rare or 1.0)), np.arange(TABLE))
-        self.packed = _ordered(cost)
+        self.df, self.texts, self.least = np.append(df[order], 0), max(texts, 1), least
+        self.rare = float(self.of(1, 1))
+        low = np.log(self.of(1, np.arange(1, LOW + 1)))
+        self.packed = np.concatenate([_ordered(_costs(np.full(TABLE, x), np.arange(TABLE))[0]) for x in low])
 
-    def of(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weights, and whether they differ from ``rare``."""
+    @property
+    def idf(self) -> np.ndarray:
+        return np.append(self.of(1, self.df[:-1]), 0.0)
+
+    def frequent(self, h: np.ndarray) -> np.ndarray:
+        """Document frequencies, 0 of those that are not frequent."""
         at = np.searchsorted(self.hashes[:-1], h)
-        known = self.hashes[at] == h
-        known[at == len(self.hashes) - 1] = False
-        return np.where(known, self.idf[at], self.rare) * n, known | (n > 1)
+        return np.where(self.hashes[at] == h, self.df[at], 0)
+
+    def of(self, n: np.ndarray, df: np.ndarray) -> np.ndarray:
+        """Weights of shingles that a text has ``n`` times."""
+        return np.log1p(self.texts / np.maximum(df, self.least)) * n
 
 
 def _costs(log_w: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,18 +130,18 @@ def _ordered(cost: np.ndarray) -> np.ndarray:
     return (u ^ np.where(u >> np.uint32(31), np.uint32(0xFFFFFFFF), np.uint32(0x80000000))).astype(np.uint64) << np.uint64(32)
 
 
-def samples(h: np.ndarray, n: np.ndarray, starts: np.ndarray, weights: Weights) -> np.ndarray:
+def samples(h: np.ndarray, n: np.ndarray, df: np.ndarray, starts: np.ndarray, weights: Weights) -> np.ndarray:
     """A row for each text (its shingles begin at ``starts``, none is without), a 64-bit value for each sample: the shingle and its step that were drawn."""
-    w, special = weights.of(h, n)
-    log_w, special = np.log(w), np.flatnonzero(special)
+    special, row = np.flatnonzero((n > 1) | (df > LOW)), (np.minimum(df, LOW).astype(np.int64) - 1) * TABLE
+    log_w = np.log(weights.of(n[special], df[special]))
     place = np.arange(len(h), dtype=np.uint64)
     out = np.empty((len(starts), len(ODD)), np.uint64)
     for j, odd in enumerate(ODD):
         i = ((h * odd) >> np.uint64(48)).astype(np.int64)
-        packed = weights.packed[i]
-        packed[special] = _ordered(_costs(log_w[special], i[special])[0])
+        packed = weights.packed[row + i]
+        packed[special] = _ordered(_costs(log_w, i[special])[0])
         drawn = (np.minimum.reduceat(packed | place, starts) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        t = _costs(log_w[drawn], i[drawn])[1]
+        t = _costs(np.log(weights.of(n[drawn], df[drawn])), i[drawn])[1]
         out[:, j] = h[drawn] * FACTOR + t.astype(np.int64).view(np.uint64)
     return out
 
@@ -246,8 +258,8 @@ def _counted(table: DataFrame, some: DataFrame, least: float) -> pd.DataFrame:
     return sums.where(F.col("df") >= least).toPandas()
 
 
-def frequencies(table: DataFrame, frequent: int = FREQUENT) -> Weights:
-    """The weights of the corpus; the driver gets ``frequent`` rows at most."""
+def frequencies(table: DataFrame, frequent: int = FREQUENT, exact: bool = False) -> Weights:
+    """The weights of the corpus with its frequent shingles; the driver gets ``frequent`` rows at most."""
     total = table.agg(F.sum(F.size("h")).alias("n"), F.count(F.lit(1)).alias("texts")).first()
     least = (total["n"] or 0) / frequent
 
@@ -267,30 +279,131 @@ def frequencies(table: DataFrame, frequent: int = FREQUENT) -> Weights:
     got = [_counted(table, some.where(F.pmod("s", F.lit(blocks)) == i), least) for i in range(blocks)]
     dropped(some)
     got = pd.concat(got)
-    return Weights(got["s"].to_numpy(np.int64).view(np.uint64), got["df"].to_numpy(float), total["texts"] or 0, least)
+    return Weights(got["s"].to_numpy(np.int64).view(np.uint64), got["df"].to_numpy(np.int64), total["texts"] or 0, 0.0 if exact else least)
 
 
-def sketched(table: DataFrame, weights) -> DataFrame:
-    """no, size (shingles), buckets of every text with words."""
+def _pieces(values: np.ndarray) -> list[tuple[int, int]]:
+    """From where to where equal values follow one another."""
+    cuts = (np.flatnonzero(values[1:] != values[:-1]) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, len(values)], strict=True)) if len(values) else []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+
+def _lists(ends: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
+
+
+def _group() -> Column:
+    return F.shiftright("no", WITHIN).alias("group")
+
+
+def others(table: DataFrame, weights) -> DataFrame:
+    """group, h, df: for each group of texts (in any number of rows) those of its shingles that are not frequent and that two texts or more have; none if rare ones count as one. Written."""
+    schema = "group long, h array<long>, df array<int>"
+    if weights.value.least > 0:
+        return table.sparkSession.createDataFrame([], schema)
+
+    def dealt(turn: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            for batch in batches:
+                group = batch.column(0).to_numpy()
+                for a, b in _pieces(group):
+                    h = _flat(batch.column(1).slice(a, b - a))[0].view(np.uint64)
+                    h = np.sort(h[h >> np.uint64(64 - TURN) == turn])
+                    ends = np.flatnonzero(np.append(h[1:] != h[:-1], True)) if len(h) else np.zeros(0, np.int64)
+                    h, n = h[ends], np.diff(ends, prepend=-1)
+                    rare = weights.value.frequent(h) == 0
+                    h, n = h[rare], n[rare].astype(np.int32)
+                    range_ = (h >> np.uint64(64 - RANGE)).astype(np.int32)
+                    heads = np.array([a for a, _ in _pieces(range_)], np.int64)
+                    ends = np.append(heads, len(h))
+                    yield {"range": range_[heads], "group": np.full(len(heads), group[a]), "h": _lists(ends, h.view(np.int64)), "n": _lists(ends, n)}
+
+        rows = mapped(table.select(_group(), "h"), run, "range int, group long, h array<long>, n array<int>")
+        return mapped(rows.repartition(partitions(rows.sparkSession), "range").sortWithinPartitions("range"), counted, schema)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            sizes = np.diff(batch.column(1).offsets.to_numpy())
-            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // CHUNK, prepend=0)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True):
-                if not sizes[a:b].any():
-                    continue
-                piece = batch.slice(a, b - a)
-                h, ends = _flat(piece.column(1))
-                keep = np.flatnonzero(np.diff(ends))
-                got = samples(h.view(np.uint64), _flat(piece.column(2))[0], ends[keep], weights.value)
-                key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(keep), 1))
-                for k in range(ROWS):
-                    key = (key ^ got[:, k * BANDS : (k + 1) * BANDS]) * FACTOR
-                    key ^= key >> np.uint64(32)
-                yield {"no": piece.column(0).to_numpy()[keep], "size": np.diff(ends)[keep], "buckets": list(key.view(np.int64))}
-
-    return mapped(table.select("no", "h", "n"), run, "no long, size long, buckets array<long>")
+            for a, b in _pieces(batch.column(0).to_numpy()):
+                if held and held[0].column(0)[0] != batch.column(0)[a]:
+                    yield solve(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield solve(held)
+
+    def solve(held: list[pa.RecordBatch]) -> dict:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        h, ends = _flat(rows.column(2))
+        order = np.argsort(h)
+        in_order = h[order]
+        heads = np.flatnonzero(np.append(True, in_order[1:] != in_order[:-1]))
+        df = np.empty(len(h), np.int32)
+        df[order] = np.repeat(np.add.reduceat(_flat(rows.column(3))[0][order], heads), np.diff(np.append(heads, len(h))))
+        shared = df > 1
+        ends = np.append(0, np.cumsum(shared))[ends]
+        return {"group": rows.column(1), "h": _lists(ends, h[shared]), "df": _lists(ends, df[shared])}
+
+    return written_in_turn((dealt(turn).where("size(h) > 0") for turn in range(1 << TURN)), "frequencies")
+
+
+def _with_frequencies(table: DataFrame, known: tuple, work: Callable[..., Iterator[dict]], schema: str, name: str) -> DataFrame:
+    """``work`` turns no, h, n of a group of texts and the document frequencies of all in h into dicts of equally long lists or arrays. Written. ``known``: weights and ``others``."""
+    (weights, rest), kinds = known, arrow_schema(table.sparkSession, schema)
+
+    def run(texts: pa.Table, some: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return kinds.empty_table()
+        texts = texts.combine_chunks().to_batches()[0]
+        h = _flat(texts.column(2))[0].view(np.uint64)
+        df = np.maximum(weights.value.frequent(h), 1).astype(np.int32)
+        if some.num_rows:
+            some = some.combine_chunks().to_batches()[0]
+            s, of_s = _flat(some.column(1))[0].view(np.uint64), _flat(some.column(2))[0]
+            order = np.argsort(s)
+            s, of_s = s[order], of_s[order]
+            at = np.minimum(np.searchsorted(s, h), len(s) - 1)
+            hit = s[at] == h
+            df[hit] = of_s[at[hit]]
+        got = work(texts.column(1), texts.column(2), texts.column(3), df)
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays([v if isinstance(v := g[f.name], pa.Array) else pa.array(v, type=f.type) for f in kinds], schema=kinds) for g in got], schema=kinds)
+
+    def part(turn: int) -> DataFrame:
+        mine = lambda d: d.where(F.pmod(F.xxhash64("group"), F.lit(1 << TURN)) == turn).groupBy("group")
+        return mine(table.select(_group(), "no", "h", "n")).cogroup(mine(rest.select("group", "h", "df"))).applyInArrow(run, schema)
+
+    return written_in_turn((part(turn) for turn in range(1 << TURN)), name)
+
+
+def sketched(table: DataFrame, known: tuple) -> DataFrame:
+    """no, size (shingles), buckets of every text with words; written."""
+    weights = known[0]
+
+    def work(no: pa.Array, h_lists: pa.Array, n_lists: pa.Array, df: np.ndarray) -> Iterator[dict]:
+        (h, ends), n = _flat(h_lists), _flat(n_lists)[0]
+        sizes = np.diff(ends)
+        for a, b in _pieces(np.cumsum(sizes) // CHUNK):
+            keep = a + np.flatnonzero(sizes[a:b])
+            if not len(keep):
+                continue
+            of = slice(ends[a], ends[b])
+            got = samples(h[of].view(np.uint64), n[of], df[of], ends[keep] - ends[a], weights.value)
+            key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(keep), 1))
+            for k in range(ROWS):
+                key = (key ^ got[:, k * BANDS : (k + 1) * BANDS]) * FACTOR
+                key ^= key >> np.uint64(32)
+            yield {"no": no.to_numpy()[keep], "size": sizes[keep], "buckets": list(key.view(np.int64))}
+
+    return _with_frequencies(table, known, work, "no long, size long, buckets array<long>", "sketches")
+
+
+def shelved(table: DataFrame, known: tuple) -> DataFrame:
+    """no, h, n, df of the texts; written."""
+
+    def work(no: pa.Array, h: pa.Array, n: pa.Array, df: np.ndarray) -> Iterator[dict]:
+        yield {"no": no, "h": h, "n": n, "df": _lists(_flat(h)[1], df)}
+
+    return _with_frequencies(table, known, work, "no long, h array<long>, n array<int>, df array<int>", "open-texts")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -330,22 +443,22 @@ def _verified(pairs: DataFrame, table: DataFrame, weights, threshold: float) ->
             a = batch.column(0).to_pylist()
             for i, x in enumerate(a):
                 sides = []
-                for side in (2, 4):
+                for side in (2, 5):
                     if side == 2 and last.get("id") == x:
                         sides.append(last["of"])
                         continue
                     h = batch.column(side)[i].values.to_numpy().view(np.uint64)
-                    sides.append((h, weights.value.of(h, batch.column(side + 1)[i].values.to_numpy())[0]))
+                    sides.append((h, weights.value.of(batch.column(side + 1)[i].values.to_numpy(), batch.column(side + 2)[i].values.to_numpy())))
                     if side == 2:
                         last = {"id": x, "of": sides[0]}
                 if similarity(*sides) >= threshold:
                     keep.append(i)
             yield {"a": batch.column(0).take(pa.array(keep, pa.int32())), "b": batch.column(1).take(pa.array(keep, pa.int32()))}
 
-    side = lambda x: table.select(F.col("no").alias(x), F.col("h").alias(f"h_{x}"), F.col("n").alias(f"n_{x}"))
+    side = lambda x: table.select(F.col("no").alias(x), F.col("h").alias(f"h_{x}"), F.col("n").alias(f"n_{x}"), F.col("df").alias(f"df_{x}"))
     dealt, many = _shared(pairs)
     leaders = side("a").join(many, "a", "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("shares"), F.lit(1).cast("long")) - 1)))
-    return mapped(dealt.join(side("b"), "b").join(leaders, ["a", "share"]).select("a", "b", "h_a", "n_a", "h_b", "n_b"), run, "a long, b long")
+    return mapped(dealt.join(side("b"), "b").join(leaders, ["a", "share"]).select("a", "b", "h_a", "n_a", "df_a", "h_b", "n_b", "df_b"), run, "a long, b long")
 
 
 def _led(members: DataFrame, shelf: DataFrame, weights, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -382,8 +495,7 @@ def _searched(members: DataFrame, shelf: DataFrame, weights, threshold: float) -
         if (label == label[0]).all() or len(no) < 2:
             return None
         h, ends = _flat(table.column(6))
-        h = h.view(np.uint64)
-        got = list(forest(h, weights.value.of(h, _flat(table.column(7))[0])[0], ends, label, side, threshold))
+        got = list(forest(h.view(np.uint64), weights.value.of(_flat(table.column(7))[0], _flat(table.column(8))[0]), ends, label, side, threshold))
         if not got:
             return None
         child, parent, root = np.array(got).T
@@ -416,15 +528,16 @@ def _searched(members: DataFrame, shelf: DataFrame, weights, threshold: float) -
     side, other = F.pmod(F.xxhash64("no"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     rows = members.select("no", "bucket", "label", side.alias("side"), other.alias("other"))
     rows = rows.select("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "no", "side", "label")
-    rows = rows.join(shelf, "no").select("bucket", "i", "j", "no", "side", "label", "h", "n")
+    rows = rows.join(shelf, "no").select("bucket", "i", "j", "no", "side", "label", "h", "n", "df")
     rows = rows.repartition(partitions(rows.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return mapped(rows, run, "a long, b long, x long, y long")
 
 
-def links(table: DataFrame, threshold: float = THRESHOLD, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
+def links(table: DataFrame, threshold: float = THRESHOLD, frequent: int = FREQUENT, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """a, b: links that connect every class of different texts, and edges with the same components; both written. ``table``: of ``shingled``; it is deleted."""
-    weights = table.sparkSession.sparkContext.broadcast(frequencies(table, frequent))
-    sketch = written(sketched(table, weights), "sketches")
+    weights = table.sparkSession.sparkContext.broadcast(frequencies(table, frequent, exact))
+    known = weights, others(table, weights)
+    sketch = sketched(table, known)
     buckets = sketch.select("no", "size", F.explode("buckets").alias("bucket"))
     # two hashes of 64 bits stand for a bucket's members
     sets = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size") + LEAST).alias("total"), F.bit_xor(F.xxhash64("no")).alias("u"), F.bit_xor(F.xxhash64("no", F.lit(1))).alias("v")).where("n > 1")
@@ -432,8 +545,8 @@ def links(table: DataFrame, threshold: float = THRESHOLD, frequent: int = FREQUE
     full = written(buckets.join(sets, "bucket").select("no", "bucket", "n", "blocks"), "full-buckets")
     dropped(sketch)
     ids = written(full.select("no").distinct(), "open-ids")
-    shelf = written(table.join(with_bounded_side(ids), "no", "left_semi").select("no", "h", "n"), "open-texts")
-    dropped(table, ids)
+    shelf = shelved(table.join(with_bounded_side(ids), "no", "left_semi"), known)
+    dropped(table, ids, known[1])
     members = full.where("blocks = 1").select("no", "bucket", "blocks", F.col("no").alias("label"))
     found = stars = None
     if not full.where("blocks > 1").isEmpty():
@@ -449,11 +562,11 @@ def links(table: DataFrame, threshold: float = THRESHOLD, frequent: int = FREQUE
     return written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links"), edges
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, frequent: int = FREQUENT) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = THRESHOLD, frequent: int = FREQUENT, exact: bool = False) -> DataFrame:
     """doc_id, class_id, class_key, n_links (of its text's), is_first, text_hash for every row."""
     table = shingled(docs)
     names = written(table.select("no", "key", "id"), "names")
-    found, edges = links(table, threshold, frequent)
+    found, edges = links(table, threshold, frequent, exact)
     label = components(edges).withColumnRenamed("node", "no")
     degree = found.select(F.explode(F.array("a", "b")).alias("no")).groupBy("no").agg(F.count(F.lit(1)).alias("n_links"))
     named = names.join(label, "no", "left").join(degree, "no", "left")

@@ -45,7 +45,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(table(spark, sf_dir, "documents"))
+    return neardup.classes(table(spark, sf_dir, "documents"), exact=True)
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
