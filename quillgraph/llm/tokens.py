@@ -10,6 +10,7 @@ null ids come first; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +26,8 @@ from quillgraph.llm.common import fresh_path, mapped, partitions
 VOCABULARY, END = "word_bpe_49k.json", 2
 #: Chunks of text whose ids a worker remembers, in two generations of at most so many each.
 MEMO = 500_000
+#: A chunk of its own between others, whose id shows where they end.
+MARK = "\x01"
 #: Rows of one Arrow batch of ids.
 ROWS = 1000
 SCHEMA = "doc_id long, part int, row long, n_tokens int, ids array<int>"
@@ -37,10 +40,24 @@ class _Memo:
         import public_tokenizers
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def together(self, chunks: list[str]) -> list[bytes]:
+        """The packed ids of chunks that are encoded as one text, without offsets; one by one if a chunk has the mark."""
+        text = f" {MARK} ".join(chunks)
+        if len(self.mark) == 1 and text.count(MARK) == len(chunks) - 1:
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            marks = 4 * np.flatnonzero(ids == self.mark[0])
+            if len(marks) == len(chunks) - 1:
+                return _cut(ids.tobytes(), [0, *(marks + 4).tolist()], [*marks.tolist(), 4 * len(ids)])
+        got = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
+        ends = (4 * np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(chunks)))).tolist()
+        return _cut(np.array(got.ids, "<u4").tobytes(), [0, *ends[:-1]], ends)
+
     def ids(self, chunks: list[str]) -> list[bytes]:
         """Of each chunk. Unknown ones are encoded many at a call."""
         out = list(map(self.known.get, chunks))
@@ -52,10 +69,8 @@ class _Memo:
                     missing.append(i)
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
-            got = self.tokenizer.encode([chunks[i] for i in part], is_pretokenized=True, add_special_tokens=False)
-            raw, ends = np.array(got.ids, "<u4").tobytes(), (4 * np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)))).tolist()
-            for i, a, b in zip(part, [0, *ends], ends, strict=False):
-                out[i] = raw[a:b]
+            for i, packed in zip(part, self.together([chunks[i] for i in part]), strict=True):
+                out[i] = packed
         if missing:
             if len(self.known) >= MEMO:
                 self.known, self.older = {}, self.known
@@ -63,6 +78,10 @@ class _Memo:
         return out
 
 
+def _cut(raw: bytes, starts: list[int], ends: list[int]) -> list[bytes]:
+    return [raw[a:b] for a, b in zip(starts, ends, strict=True)]
+
+
 @functools.lru_cache(2)
 def _memo(vocabulary: str) -> _Memo:
     return _Memo(vocabulary)
@@ -73,7 +92,7 @@ def encode_texts(texts: pa.Array, vocabulary: str = VOCABULARY, end: int = END)
     words = pc.ascii_split_whitespace(texts.fill_null(""))
     ends = words.offsets.to_numpy()
     flat = words.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
-    packed = _memo(vocabulary).ids(flat.dictionary.to_pylist()) + [np.array([end], "<u4").tobytes()]
+    packed = _memo(vocabulary).ids(flat.dictionary.to_numpy(zero_copy_only=False).tolist()) + [np.array([end], "<u4").tobytes()]
     sizes = np.array([len(p) for p in packed]) // 4
     table, starts = np.frombuffer(b"".join(packed), "<i4"), np.cumsum(sizes) - sizes
     ends = ends - ends[0]
