@@ -29,6 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,39 +58,45 @@ LOG_C = np.log(_SEED.gamma(2.0, 1.0, TABLE))
 BETA = _SEED.random(TABLE)
 ODD = _SEED.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-MEMO = 500_000
+#: Texts, and bytes of more than one text, that a task cuts at once.
+TEXTS, BYTES = 1000, 1 << 24
 #: Shingles that a task samples at once.
 CHUNK = 1 << 19
 
 
-class _Words(dict):
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        got = xxhash.xxh64_intdigest(word.encode())
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = got
-        return got
-
-
-_WORDS = _Words()
-
-
-def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Different shingles' hashes in order, and their counts."""
-    words = np.array(list(map(_WORDS.__getitem__, (text or "").split())), np.uint64)
-    n = min(WORDS, len(words))
-    if not n:
-        return words, np.zeros(0, np.int64)
-    h = np.zeros(len(words) - n + 1, np.uint64)
-    for i in range(n):
-        h = h * FACTOR + words[i : i + len(h)]
+def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's different shingles' hashes in order, their counts, and where each text's begin (and the last ends). Every different word is hashed once."""
+    import xxhash
+
+    split = pc.utf8_split_whitespace(texts)
+    ends = split.offsets.to_numpy()
+    words = split.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+    names, at = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+    hashed = np.frombuffer(b"".join(map(xxhash.xxh64_digest, names)), ">u8").astype(np.uint64)
+    word = at != pc.index(words.dictionary, "").as_py()  # space at a text's ends gives empty ones
+    ends = np.append(0, np.cumsum(word))[ends - ends[0]]
+    w, starts, many = hashed[at[word]], ends[:-1], np.diff(ends)
+    h = np.zeros(len(w), np.uint64)
+    for i in range(min(WORDS, len(w))):
+        some = len(w) - WORDS + 1
+        h[: max(some, 0)] = h[: max(some, 0)] * FACTOR + w[i : i + max(some, 0)]
+    for n in range(1, WORDS):
+        short = starts[many == n]
+        h[short] = 0
+        for i in range(n):
+            h[short] = h[short] * FACTOR + w[short + i]
+    sizes = np.where(many, np.maximum(many - WORDS + 1, 1), 0)
+    ends = np.append(0, np.cumsum(sizes))
+    h = h[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    h.sort()
-    ends = np.flatnonzero(np.append(h[1:] != h[:-1], True))
-    return h[ends], np.diff(ends, prepend=-1)
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        h[a:b].sort()
+    last = np.ones(len(h), bool)
+    last[:-1] = h[1:] != h[:-1]
+    last[ends[1:][sizes > 0] - 1] = True
+    kept = np.flatnonzero(last)
+    return h[kept], np.diff(kept, prepend=-1), np.append(0, np.cumsum(last))[ends]
 
 
 class Weights:
@@ -217,22 +224,63 @@ def forest(h: np.ndarray, w: np.ndarray, starts: np.ndarray, label: np.ndarray,
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """no, key, id (least doc_id), h, n of every different text; written once. Copies are combined in each task before the shuffle."""
+    """no, key, id (least doc_id), size (different shingles), hs, ns, h, n of every different text; written once. Copies are combined in each task before the shuffle.
+
+    hs and ns are the bytes of the shingles' hashes (64 bits) and counts (32 bits), which Spark moves as they are; arrays it would
+    copy number by number. h and n are the arrays, made only where they are read."""
     rows = docs.select(text_key().alias("key"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.groupBy("key").agg(F.min("id").alias("id"), F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
-                got = [shingles(t) for t in piece.column(2).to_pylist()]
-                ends = pa.array(np.concatenate([[0], np.cumsum([len(g[0]) for g in got])]).astype(np.int32))
-                h, n = np.concatenate([g[0] for g in got]).view(np.int64), np.concatenate([g[1] for g in got]).astype(np.int32)
-                yield {"key": piece.column(0), "id": piece.column(1), "h": pa.ListArray.from_arrays(ends, pa.array(h)), "n": pa.ListArray.from_arrays(ends, pa.array(n))}
+            before = np.append(0, np.cumsum(pc.binary_length(batch.column(2)).to_numpy().astype(np.int64)))
+            at = 0
+            while at < batch.num_rows:
+                many = max(1, min(TEXTS, int(np.searchsorted(before, before[at] + BYTES, "right")) - 1 - at))
+                piece = batch.slice(at, many)
+                h, n, ends = shingles(piece.column(2))
+                yield {"key": piece.column(0), "id": piece.column(1), "size": np.diff(ends), "hs": _packed(ends, h), "ns": _packed(ends, n.astype(np.int32))}
+                at += many
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = mapped(rows, run, f"key string, id {kind}, h array<long>, n array<int>")
-    return written(out.withColumn("no", F.monotonically_increasing_id()), "shingles")
+    out = mapped(rows, run, f"key string, id {kind}, size long, hs binary, ns binary")
+    table = written(out.withColumn("no", F.monotonically_increasing_id()), "shingles")
+    named = table.withColumns({"h": _array("long", np.int64)("hs"), "n": _array("int", np.int32)("ns")})
+    named._quillgraph_path = table._quillgraph_path
+    return named
+
+
+def _packed(ends: np.ndarray, values: np.ndarray) -> pa.Array:
+    """The bytes of the values between every two ends."""
+    ends = ends * values.itemsize
+    if ends[-1] >= 1 << 31:
+        raise ValueError("over 2 GB of shingles at once")
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(raw: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of such an array, and where each row's begin (and the last's end)."""
+    ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int32)
+    data = memoryview(raw.buffers()[2])[ends[0] : ends[-1]] if ends[-1] > ends[0] else b""
+    return np.frombuffer(data, kind), (ends - ends[0]).astype(np.int64) // np.dtype(kind).itemsize
+
+
+def _array(name: str, kind: type) -> Callable[[str], Column]:
+    """Makes such bytes an array."""
+
+    def run(raw: pa.Array) -> pa.Array:
+        values, ends = _unpacked(raw, kind)
+        return _lists(ends, values)
+
+    return F.arrow_udf(run, f"array<{name}>")
+
+
+def _whole(table: pa.Table) -> pa.RecordBatch:
+    """All rows of a table in one batch."""
+    batches = table.combine_chunks().to_batches()
+    if len(batches) != 1:
+        raise ValueError("over 2 GB of shingles at once")
+    return batches[0]
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -248,23 +296,23 @@ def _counted(table: DataFrame, some: DataFrame, least: float) -> pd.DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         df = np.zeros(len(block.value), np.int64)
         for batch in batches:
-            all_ = _flat(batch.column(0))[0]
+            all_ = _unpacked(batch.column(0), np.int64)[0]
             for at in range(0, len(all_), FREQUENT_BLOCK):
                 own = np.sort(all_[at : at + FREQUENT_BLOCK])
                 df += np.searchsorted(own, block.value, "right") - np.searchsorted(own, block.value)
         yield {"s": block.value[df > 0], "df": df[df > 0]}
 
-    sums = mapped(table.select("h"), run, "s long, df long").groupBy("s").agg(F.sum("df").alias("df"))
+    sums = mapped(table.select("hs"), run, "s long, df long").groupBy("s").agg(F.sum("df").alias("df"))
     return sums.where(F.col("df") >= least).toPandas()
 
 
 def frequencies(table: DataFrame, frequent: int = FREQUENT, exact: bool = False) -> Weights:
     """The weights of the corpus with its frequent shingles; the driver gets ``frequent`` rows at most."""
-    total = table.agg(F.sum(F.size("h")).alias("n"), F.count(F.lit(1)).alias("texts")).first()
+    total = table.agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("texts")).first()
     least = (total["n"] or 0) / frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        parts = [_flat(b.column(0))[0] for b in batches]
+        parts = [_unpacked(b.column(0), np.int64)[0] for b in batches]
         all_ = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         parts.clear()
         all_.sort()
@@ -273,7 +321,7 @@ def frequencies(table: DataFrame, frequent: int = FREQUENT, exact: bool = False)
         yield {"s": all_[ends[keep]]}
 
     # tasks of so many shingles that few are frequent in one; all of them in small corpora
-    table = table.select("h").coalesce(max(1, (total["n"] or 0) // TASK))
+    table = table.select("hs").coalesce(max(1, (total["n"] or 0) // TASK))
     some = written(mapped(table, run, "s long").distinct(), "candidates")
     blocks = max(1, -(-some.count() // FREQUENT_BLOCK))
     got = [_counted(table, some.where(F.pmod("s", F.lit(blocks)) == i), least) for i in range(blocks)]
@@ -298,7 +346,7 @@ def _group() -> Column:
 
 def others(table: DataFrame, weights) -> DataFrame:
     """group, h, df: for each group of texts (in any number of rows) those of its shingles that are not frequent and that two texts or more have; none if rare ones count as one. Written."""
-    schema = "group long, h array<long>, df array<int>"
+    schema = "group long, h binary, df binary"
     if weights.value.least > 0:
         return table.sparkSession.createDataFrame([], schema)
 
@@ -307,7 +355,7 @@ def others(table: DataFrame, weights) -> DataFrame:
             for batch in batches:
                 group = batch.column(0).to_numpy()
                 for a, b in _pieces(group):
-                    h = _flat(batch.column(1).slice(a, b - a))[0].view(np.uint64)
+                    h = _unpacked(batch.column(1).slice(a, b - a), np.uint64)[0]
                     h = np.sort(h[h >> np.uint64(64 - TURN) == turn])
                     ends = np.flatnonzero(np.append(h[1:] != h[:-1], True)) if len(h) else np.zeros(0, np.int64)
                     h, n = h[ends], np.diff(ends, prepend=-1)
@@ -316,9 +364,9 @@ def others(table: DataFrame, weights) -> DataFrame:
                     range_ = (h >> np.uint64(64 - RANGE)).astype(np.int32)
                     heads = np.array([a for a, _ in _pieces(range_)], np.int64)
                     ends = np.append(heads, len(h))
-                    yield {"range": range_[heads], "group": np.full(len(heads), group[a]), "h": _lists(ends, h.view(np.int64)), "n": _lists(ends, n)}
+                    yield {"range": range_[heads], "group": np.full(len(heads), group[a]), "h": _packed(ends, h), "n": _packed(ends, n)}
 
-        rows = mapped(table.select(_group(), "h"), run, "range int, group long, h array<long>, n array<int>")
+        rows = mapped(table.select(_group(), "hs"), run, "range int, group long, h binary, n binary")
         return mapped(rows.repartition(partitions(rows.sparkSession), "range").sortWithinPartitions("range"), counted, schema)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -333,44 +381,44 @@ def others(table: DataFrame, weights) -> DataFrame:
             yield solve(held)
 
     def solve(held: list[pa.RecordBatch]) -> dict:
-        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        h, ends = _flat(rows.column(2))
+        rows = _whole(pa.Table.from_batches(held))
+        h, ends = _unpacked(rows.column(2), np.uint64)
         order = np.argsort(h)
         in_order = h[order]
         heads = np.flatnonzero(np.append(True, in_order[1:] != in_order[:-1]))
         df = np.empty(len(h), np.int32)
-        df[order] = np.repeat(np.add.reduceat(_flat(rows.column(3))[0][order], heads), np.diff(np.append(heads, len(h))))
+        df[order] = np.repeat(np.add.reduceat(_unpacked(rows.column(3), np.int32)[0][order], heads), np.diff(np.append(heads, len(h))))
         shared = df > 1
         ends = np.append(0, np.cumsum(shared))[ends]
-        return {"group": rows.column(1), "h": _lists(ends, h[shared]), "df": _lists(ends, df[shared])}
+        return {"group": rows.column(1), "h": _packed(ends, h[shared]), "df": _packed(ends, df[shared])}
 
-    return written_in_turn((dealt(turn).where("size(h) > 0") for turn in range(1 << TURN)), "frequencies")
+    return written_in_turn((dealt(turn).where("length(h) > 0") for turn in range(1 << TURN)), "frequencies")
 
 
 def _with_frequencies(table: DataFrame, known: tuple, work: Callable[..., Iterator[dict]], schema: str, name: str) -> DataFrame:
-    """``work`` turns no, h, n of a group of texts and the document frequencies of all in h into dicts of equally long lists or arrays. Written. ``known``: weights and ``others``."""
+    """``work`` turns no, h, n, df of a group of texts, and where each text's begin (and the last's end), into dicts of equally long lists or arrays. Written. ``known``: weights and ``others``."""
     (weights, rest), kinds = known, arrow_schema(table.sparkSession, schema)
 
     def run(texts: pa.Table, some: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return kinds.empty_table()
-        texts = texts.combine_chunks().to_batches()[0]
-        h = _flat(texts.column(2))[0].view(np.uint64)
+        texts = _whole(texts)
+        h, ends = _unpacked(texts.column(2), np.uint64)
         df = np.maximum(weights.value.frequent(h), 1).astype(np.int32)
         if some.num_rows:
-            some = some.combine_chunks().to_batches()[0]
-            s, of_s = _flat(some.column(1))[0].view(np.uint64), _flat(some.column(2))[0]
+            some = _whole(some)
+            s, of_s = _unpacked(some.column(1), np.uint64)[0], _unpacked(some.column(2), np.int32)[0]
             order = np.argsort(s)
             s, of_s = s[order], of_s[order]
             at = np.minimum(np.searchsorted(s, h), len(s) - 1)
             hit = s[at] == h
             df[hit] = of_s[at[hit]]
-        got = work(texts.column(1), texts.column(2), texts.column(3), df)
+        got = work(texts.column(1), h, _unpacked(texts.column(3), np.int32)[0], df, ends)
         return pa.Table.from_batches([pa.RecordBatch.from_arrays([v if isinstance(v := g[f.name], pa.Array) else pa.array(v, type=f.type) for f in kinds], schema=kinds) for g in got], schema=kinds)
 
     def part(turn: int) -> DataFrame:
         mine = lambda d: d.where(F.pmod(F.xxhash64("group"), F.lit(1 << TURN)) == turn).groupBy("group")
-        return mine(table.select(_group(), "no", "h", "n")).cogroup(mine(rest.select("group", "h", "df"))).applyInArrow(run, schema)
+        return mine(table.select(_group(), "no", "hs", "ns")).cogroup(mine(rest.select("group", "h", "df"))).applyInArrow(run, schema)
 
     return written_in_turn((part(turn) for turn in range(1 << TURN)), name)
 
@@ -379,15 +427,14 @@ def sketched(table: DataFrame, known: tuple) -> DataFrame:
     """no, size (shingles), buckets of every text with words; written."""
     weights = known[0]
 
-    def work(no: pa.Array, h_lists: pa.Array, n_lists: pa.Array, df: np.ndarray) -> Iterator[dict]:
-        (h, ends), n = _flat(h_lists), _flat(n_lists)[0]
+    def work(no: pa.Array, h: np.ndarray, n: np.ndarray, df: np.ndarray, ends: np.ndarray) -> Iterator[dict]:
         sizes = np.diff(ends)
         for a, b in _pieces(np.cumsum(sizes) // CHUNK):
             keep = a + np.flatnonzero(sizes[a:b])
             if not len(keep):
                 continue
             of = slice(ends[a], ends[b])
-            got = samples(h[of].view(np.uint64), n[of], df[of], ends[keep] - ends[a], weights.value)
+            got = samples(h[of], n[of], df[of], ends[keep] - ends[a], weights.value)
             key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(keep), 1))
             for k in range(ROWS):
                 key = (key ^ got[:, k * BANDS : (k + 1) * BANDS]) * FACTOR
@@ -400,8 +447,8 @@ def sketched(table: DataFrame, known: tuple) -> DataFrame:
 def shelved(table: DataFrame, known: tuple) -> DataFrame:
     """no, h, n, df of the texts; written."""
 
-    def work(no: pa.Array, h: pa.Array, n: pa.Array, df: np.ndarray) -> Iterator[dict]:
-        yield {"no": no, "h": h, "n": n, "df": _lists(_flat(h)[1], df)}
+    def work(no: pa.Array, h: np.ndarray, n: np.ndarray, df: np.ndarray, ends: np.ndarray) -> Iterator[dict]:
+        yield {"no": no, "h": _lists(ends, h.view(np.int64)), "n": _lists(ends, n), "df": _lists(ends, df)}
 
     return _with_frequencies(table, known, work, "no long, h array<long>, n array<int>, df array<int>", "open-texts")
 
