@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import time
@@ -112,6 +113,21 @@ def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[di
     return df.mapInArrow(run, schema)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int, size: int) -> Iterator[None]:
+    """What is run meanwhile hands Python Arrow batches of ``rows`` rows at most, and of few more than ``size`` bytes unless a row has them. An
+    executor has a batch twice, outside its heap and in the worker."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def per_batch(df: DataFrame, columns: list, work: Callable[..., dict], schema: str) -> DataFrame:
     """``work(*lists)`` over every Arrow batch of ``columns``; it returns a dict of equally long lists or arrays by the schema's names."""
 

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import arrow_schema, dropped, hot_join, mapped, partitions, text_hash, text_key, with_bounded_side, written, written_in_turn
+from quillgraph.llm.common import arrow_schema, dropped, hot_join, mapped, partitions, small_batches, text_hash, text_key, with_bounded_side, written, written_in_turn
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 8, 3
@@ -58,8 +58,8 @@ LOG_C = np.log(_SEED.gamma(2.0, 1.0, TABLE))
 BETA = _SEED.random(TABLE)
 ODD = _SEED.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-#: Texts, and bytes of more than one text, that a task cuts at once.
-TEXTS, BYTES = 1000, 1 << 24
+#: Texts, and bytes of more than one text, that a task cuts at once; of any rows, those of an Arrow batch.
+TEXTS, BYTES = 1 << 10, 1 << 24
 #: Shingles that a task samples at once.
 CHUNK = 1 << 19
 
@@ -316,9 +316,9 @@ def frequencies(table: DataFrame, frequent: int = FREQUENT, exact: bool = False)
         all_ = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         parts.clear()
         all_.sort()
-        ends = np.flatnonzero(np.append(all_[1:] != all_[:-1], True)) if len(all_) else np.zeros(0, np.int64)
-        keep = np.diff(ends, prepend=-1) >= len(all_) / frequent  # else it is rare in this task
-        yield {"s": all_[ends[keep]]}
+        many = max(1, -(-len(all_) // frequent))  # a shingle of fewer is rare in this task
+        some = all_[many - 1 :][all_[many - 1 :] == all_[: max(0, len(all_) - many + 1)]]
+        yield {"s": some[np.append(True, some[1:] != some[:-1])] if len(some) else some}
 
     # tasks of so many shingles that few are frequent in one; all of them in small corpora
     table = table.select("hs").coalesce(max(1, (total["n"] or 0) // TASK))
@@ -611,9 +611,10 @@ def links(table: DataFrame, threshold: float = THRESHOLD, frequent: int = FREQUE
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, frequent: int = FREQUENT, exact: bool = False) -> DataFrame:
     """doc_id, class_id, class_key, n_links (of its text's), is_first, text_hash for every row."""
-    table = shingled(docs)
-    names = written(table.select("no", "key", "id"), "names")
-    found, edges = links(table, threshold, frequent, exact)
+    with small_batches(docs.sparkSession, TEXTS, BYTES):
+        table = shingled(docs)
+        names = written(table.select("no", "key", "id"), "names")
+        found, edges = links(table, threshold, frequent, exact)
     label = components(edges).withColumnRenamed("node", "no")
     degree = found.select(F.explode(F.array("a", "b")).alias("no")).groupBy("no").agg(F.count(F.lit(1)).alias("n_links"))
     named = names.join(label, "no", "left").join(degree, "no", "left")
