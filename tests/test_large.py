@@ -8,7 +8,7 @@ import re
 
 import pytest
 
-from quillgraph.operators import graph
+from quillgraph.operators import graph, sampler
 
 
 def lists(seed):
@@ -17,6 +17,21 @@ def lists(seed):
     return {0: set(range(30))} | {x: set(rng.sample(range(30), rng.randrange(6))) | {29} for x in range(1, 60)}
 
 
+def most_rows_out_of_a_join(df):
+    """Of an executed plan, by the joins' own counts."""
+
+    def joins(plan):
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            plan = plan.executedPlan()
+        own = [plan.metrics().apply("numOutputRows").value()] if "Join" in plan.nodeName() and plan.metrics().contains("numOutputRows") else []
+        below = [plan.plan()] if plan.getClass().getSimpleName().endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+        return own + [n for x in below for n in joins(x)]
+
+    found = joins(df._jdf.queryExecution().executedPlan())
+    assert found
+    return max(found)
+
+
 @pytest.mark.parametrize("block", [1, 7, 100, 1 << 23])
 def test_blocks_give_the_cosines_of_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(graph, "BLOCK", block)
@@ -35,3 +50,33 @@ def test_wedges_are_not_shuffled(spark):
 
 def test_no_left_vertices(spark):
     assert graph.project_right(spark.createDataFrame([], "l long, r long")).count() == 0
+
+
+def test_sets_are_weighed_by_kinds_of_members(spark):
+    rng = random.Random(4)
+    pairs = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(150)}
+    w = {p: rng.random() for a, b in pairs for p in ((a, b), (b, a))}
+    w = {p: w[min(p), max(p)] for p in w}
+    rows = {i: rng.sample(range(8), rng.randrange(4)) for i in range(40)}
+    asked = [(i, sorted(rng.sample(range(9), n))) for i in range(40) for n in range(6)]
+    e, v = spark.createDataFrame([(a, b, x) for (a, b), x in w.items()], "src long, dst long, w double"), spark.range(41)
+    z = spark.createDataFrame([(i, c) for i, cs in rows.items() for c in cs] + [(None, 1), (3, None)], "vertex long, cluster long")
+    sets = spark.createDataFrame(asked, "vertex long, row array<long>")
+    want = {}
+    for i, row in asked:
+        size, near = sum(bool(set(row) & set(cs)) for cs in rows.values()), {b: x for (a, b), x in w.items() if a == i}
+        hits = [x for b, x in near.items() if set(row) & set(rows[b])]
+        want[i, tuple(row)] = 5.0 * sum(hits) + (41 - size - (len(near) - len(hits))) * sum(near.values()) / len(near) if near else None
+    df = sampler.set_likelihoods(e, graph.vertex_degrees(e, v), z, sets)
+    got = {(r.vertex, tuple(r.row)): r.ll for r in df.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_a_union_s_members_are_not_listed(spark):
+    """4,000 members in two kinds, 400 sets: joins pass on kinds, not 800,000 members."""
+    z = spark.range(4000).selectExpr("id vertex", "explode(array(id % 2, 2 + id % 2)) cluster")
+    e, v = graph.graph_from_edges(spark.range(4000).selectExpr("id a", "(id + 1) % 4000 b"), "a", "b"), spark.range(4000)
+    sets = spark.range(400).selectExpr("id vertex", "array(id % 2, 3 + id) row")
+    df = sampler.set_likelihoods(e, graph.vertex_degrees(e, v), z, sets)
+    df.collect()
+    assert most_rows_out_of_a_join(df) <= 20_000
