@@ -8,7 +8,9 @@ import re
 
 import pytest
 
+from quillgraph.functions.tables import materialised
 from quillgraph.operators import graph, sampler
+from quillgraph.plans import queries
 
 
 def lists(seed):
@@ -80,3 +82,25 @@ def test_a_union_s_members_are_not_listed(spark):
     df = sampler.set_likelihoods(e, graph.vertex_degrees(e, v), z, sets)
     df.collect()
     assert most_rows_out_of_a_join(df) <= 20_000
+
+
+def test_lists_are_made_with_one_shuffle(spark):
+    rows = [(x, r) for x, rs in lists(5).items() for r in rs]
+    table = spark.createDataFrame(2 * rows + [(None, 1), (1, None)], "l_partkey int, l_suppkey int")
+    df = graph.lists_from_edges(table, "l_partkey", "l_suppkey")
+    assert sorted((x.l, r) for x in df.collect() for r in x.rs) == sorted(rows)
+    assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_the_registered_graph_is_written_with_little_shuffled(spark, tmp_path, monkeypatch):
+    """Lists, not wedges or pairs: the wedges are 20 times the rows here, and the graph's tables hold each row once."""
+    rng = random.Random(6)
+    rows = [(x, r) for x in range(300) for r in rng.sample(range(60), 40)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    written = []
+    monkeypatch.setattr(queries, "materialised", lambda df, name: written.append((name, df)) or materialised(df, name))
+    edges, vertices = queries._graph(spark, str(tmp_path))
+    assert [n for n, _ in written] == ["lists", "projection", "vertices"] and written[0][1].count() == 300
+    plan = written[1][1]._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\((l#\d+L?, i#|r#\d+L?, r2#)", plan)
+    assert vertices.count() == 60 and edges.count() >= 300
